@@ -92,6 +92,17 @@ def unpack_cell(cell) -> tuple[Column, Column, Column]:
     )
 
 
+def pack_dual(dx, dy, dz) -> Column:
+    """Three dual offsets of 8 bits each in one INT."""
+    dx, dy, dz = (_col(v).cast("int") for v in (dx, dy, dz))
+    return F.shiftleft(dx, 16).bitwiseOR(F.shiftleft(dy, 8)).bitwiseOR(dz)
+
+
+def unpack_dual(dual) -> tuple[Column, Column, Column]:
+    dual = _col(dual)
+    return tuple(F.shiftright(dual, shift).bitwiseAND(255) for shift in (16, 8, 0))
+
+
 def morton_encode(x, y, z) -> Column:
     """Interleave 10 bits per axis; x takes the highest bit of every triple."""
     code = F.lit(0)

@@ -87,26 +87,25 @@ def short_phrase(text, fallback) -> Column:
     )
 
 
-def label_from_map(labels, value, fallback) -> Column:
-    """Manifest text of a label value, or the fallback."""
-    found = F.try_element_at(_col(labels), truncated(value).cast("string"))
-    return F.coalesce(found, _col(fallback))
+def label_code(value) -> Column:
+    """Key of a label value in a manifest: its whole part as text."""
+    return truncated(value).cast("string")
 
 
-def inspector_label(value, kind, labels) -> Column:
-    """Text an inspector shows for a label value of a volume kind."""
+def inspector_label(value, kind, text) -> Column:
+    """Text an inspector shows for a label value of a volume kind; ``text`` is its manifest text or NULL."""
     value, kind = _col(value), _col(kind)
-    text = number_text(value)
-    case = F.concat(F.lit("case "), text)
+    number = number_text(value)
+    case = F.concat(F.lit("case "), number)
     category = classify_label(value, kind)
     return (
         F.when(
             (kind == "finalCclComponents") & (value > 3),
             F.concat(F.lit("component "), number_text(value - 3)),
         )
-        .when((kind == "finalCclCases") & category.isNotNull(), F.concat_ws(" ", text, category_label(category)))
-        .when(kind == "linfinityDistanceCases", short_phrase(label_from_map(labels, value, case), case))
-        .otherwise(text)
+        .when((kind == "finalCclCases") & category.isNotNull(), F.concat_ws(" ", number, category_label(category)))
+        .when(kind == "linfinityDistanceCases", short_phrase(F.coalesce(_col(text), case), case))
+        .otherwise(number)
     )
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxspark.constants import AXES, EDGE_NEIGHBOURS
-from voxspark.functions.geometry import pack_cell, split_position_f32, unpack_cell
+from voxspark.constants import AXES, COORD_BITS, COORD_MASK, EDGE_NEIGHBOURS
+from voxspark.functions.geometry import fits_key, pack_dual, split_position_f32, unpack_cell, unpack_dual
 
 BLOCK_BITS = 6
 FLAG_BITS = 6
@@ -23,20 +23,26 @@ def signed_edges(voxels: DataFrame, only: Column | None = None) -> DataFrame:
     )
 
 
+def _join_cells(x, y, z) -> Column:
+    """Packed cell of coordinates already known to be in range."""
+    x, y, z = (c.cast("long") for c in (x, y, z))
+    return F.shiftleft(x, 2 * COORD_BITS).bitwiseOR(F.shiftleft(y, COORD_BITS)).bitwiseOR(z)
+
+
 def _neighbour_cell(slot: int) -> Column:
-    """Packed cell of the slot-th further voxel around the edge of this row; NULL past the last coordinate."""
-    x, y, z = unpack_cell("cell")
+    """Packed cell of the slot-th further voxel around the edge of this row: a fixed step per axis."""
+    steps = [F.lit((x << 2 * COORD_BITS) + (y << COORD_BITS) + z) for x, y, z in (axis[slot] for axis in EDGE_NEIGHBOURS)]
+    return F.col("cell") + F.when(F.col("axis") == 0, steps[0]).when(F.col("axis") == 1, steps[1]).otherwise(steps[2])
 
-    def shifted(place: int) -> Column:
-        steps = [EDGE_NEIGHBOURS[axis][slot][place] for axis in range(3)]
-        step = F.when(F.col("axis") == 0, steps[0]).when(F.col("axis") == 1, steps[1]).otherwise(steps[2])
-        return (x, y, z)[place] + step
 
-    return pack_cell(shifted(0), shifted(1), shifted(2))
+def _has_room() -> Column:
+    """Whether the edge's two moving coordinates can be stepped without leaving the 21-bit range."""
+    moving = [F.when(F.col("axis") == axis, 0).otherwise(c) for axis, c in enumerate(unpack_cell("cell"))]
+    return F.greatest(*moving) < COORD_MASK
 
 
 def _block_of(x: Column, y: Column, z: Column) -> Column:
-    return pack_cell(*[F.shiftright(c, BLOCK_BITS) for c in (x, y, z)])
+    return _join_cells(*[F.shiftright(c, BLOCK_BITS) for c in (x, y, z)])
 
 
 def _placed(voxels: DataFrame, carry: list[str]) -> DataFrame:
@@ -48,60 +54,67 @@ def _placed(voxels: DataFrame, carry: list[str]) -> DataFrame:
     """
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     offsets = sorted({(0, 0, 0), *[offset for axis in EDGE_NEIGHBOURS for offset in axis]})
-    homes = F.array(*[_block_of(x - ox, y - oy, z - oz) for ox, oy, oz in offsets])
+    homes = [
+        F.when((x >= ox) & (y >= oy) & (z >= oz), _block_of(x - ox, y - oy, z - oz)) for ox, oy, oz in offsets
+    ]
     edge = (1 << BLOCK_BITS) - 1
     interior = x.bitwiseAND(edge) * y.bitwiseAND(edge) * z.bitwiseAND(edge) != 0
-    blocks = F.when(interior, F.array(_block_of(x, y, z))).otherwise(
-        F.filter(F.array_distinct(homes), lambda block: block.isNotNull())
-    )
+    blocks = F.when(interior, F.array(_block_of(x, y, z))).otherwise(F.array_distinct(F.array(*homes)))
+    carried = [pack_dual("dx", "dy", "dz").alias("dual")] if carry else []
     tag = F.shiftleft(F.col("vid").cast("long"), FLAG_BITS).bitwiseOR(F.col("flags").cast("long"))
     return (
-        voxels.where(pack_cell("x", "y", "z").isNotNull())
-        .select("model_id", F.explode(blocks).alias("block"), pack_cell(x, y, z).alias("cell"), tag.alias("tag"), *carry)
+        voxels.where(fits_key("x", "y", "z"))
+        .select(
+            "model_id",
+            F.explode(blocks).alias("block"),
+            _join_cells(x, y, z).alias("cell"),
+            tag.alias("tag"),
+            *carried,
+        )
+        .where(F.col("block").isNotNull())
         .repartition("model_id", "block")
     )
 
 
-def quads(voxels: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def quads(voxels: DataFrame, with_dual: bool = False) -> DataFrame:
     """All quads whose four voxels exist, one row each, corners in winding order.
 
-    Columns: model_id, vid (of the edge's voxel), axis, positive, v0..v3 and, for every carried voxel column c,
-    c0..c3. A positive sign swaps corners 1 and 3.
+    Columns: model_id, vid (of the edge's voxel), axis, positive, voxel ids v0..v3, packed cells cell0..cell3 and, on
+    request, packed dual offsets dual0..dual3. A positive sign swaps corners 1 and 3.
     """
-    carry = list(carry or [])
+    carry = ["dual"] if with_dual else []
     placed = _placed(voxels, carry)
     vid = F.shiftright("tag", FLAG_BITS)
     base = placed.withColumn("flags", F.col("tag").bitwiseAND(F.lit((1 << FLAG_BITS) - 1).cast("long")))
     at_home = F.col("block") == _block_of(*unpack_cell("cell"))
-    joined = signed_edges(base, only=at_home).select(
+    joined = signed_edges(base, only=at_home).where(_has_room()).select(
         "model_id",
         "block",
         "cell",
         "axis",
         "positive",
-        vid.alias("__vid_0"),
+        F.col("cell").alias("__cell_0"),
+        vid.alias("__v_0"),
         *[F.col(c).alias(f"__{c}_0") for c in carry],
     )
     for slot in range(3):
+        key = f"__cell_{slot + 1}"
         corner = placed.select(
             "model_id",
             "block",
-            F.col("cell").alias("__cell"),
-            vid.alias(f"__vid_{slot + 1}"),
+            F.col("cell").alias(key),
+            vid.alias(f"__v_{slot + 1}"),
             *[F.col(c).alias(f"__{c}_{slot + 1}") for c in carry],
         )
-        joined = (
-            joined.withColumn("__cell", _neighbour_cell(slot))
-            .join(corner, ["model_id", "block", "__cell"])
-            .drop("__cell")
-        )
-    output = [F.col("model_id"), F.col("__vid_0").alias("vid"), F.col("axis"), F.col("positive")]
-    for source, target in [("vid", "v"), *[(c, c) for c in carry]]:
+        joined = joined.withColumn(key, _neighbour_cell(slot)).join(corner, ["model_id", "block", key])
+    output = [F.col("model_id"), F.col("__v_0").alias("vid"), F.col("axis"), F.col("positive")]
+    for name in ["v", "cell", *carry]:
         for corner in CORNERS:
             swapped = {1: 3, 3: 1}.get(corner, corner)
-            plain = F.col(f"__{source}_{corner}")
-            value = plain if swapped == corner else F.when(F.col("positive"), F.col(f"__{source}_{swapped}")).otherwise(plain)
-            output.append(value.alias(f"{target}{corner}"))
+            value = F.col(f"__{name}_{corner}")
+            if swapped != corner:
+                value = F.when(F.col("positive"), F.col(f"__{name}_{swapped}")).otherwise(value)
+            output.append(value.alias(f"{name}{corner}"))
     return joined.select(*output)
 
 
@@ -121,11 +134,15 @@ def _minus(a, b):
     return tuple(p - q for p, q in zip(a, b))
 
 
+def corner_position(number: int, position, *arguments) -> tuple[Column, Column, Column]:
+    """Apply a coordinate function to corner ``number`` of a quad row, per axis."""
+    cell, dual = unpack_cell(f"cell{number}"), unpack_dual(f"dual{number}")
+    return tuple(position(c, d, *arguments) for c, d in zip(cell, dual))
+
+
 def splits_at_first(resolution) -> Column:
     """Whether a quad is split along corners 0-2: its first three corners span an area in single precision."""
-    v0, v1, v2 = (
-        tuple(split_position_f32(f"{c}{n}", f"d{c}{n}", resolution) for c in "xyz") for n in range(3)
-    )
+    v0, v1, v2 = (corner_position(n, split_position_f32, resolution) for n in range(3))
     first = _cross(_minus(v1, v0), _minus(v2, v0))
     second = _cross(_minus(v2, v1), _minus(v0, v1))
     dot = (first[0] * second[0] + first[1] * second[1]) + first[2] * second[2]
@@ -135,8 +152,7 @@ def splits_at_first(resolution) -> Column:
 def triangles(quad_table: DataFrame, resolution="resolution", corner: str = "v") -> DataFrame:
     """Two triangles per quad, with a key that is unique and ordered by voxel, axis and half.
 
-    ``corner`` names the carried column that becomes the triangle's corners (``v`` for vertex ids). The quads carry
-    x, y, z, dx, dy, dz of their corners.
+    ``corner`` names the quad columns that become the triangle's corners (``v`` for voxel ids).
     """
     a, b, c, d = (F.col(f"{corner}{n}") for n in CORNERS)
     split = F.col("__split")
@@ -146,10 +162,9 @@ def triangles(quad_table: DataFrame, resolution="resolution", corner: str = "v")
         return F.struct(F.lit(number).alias("half"), *corners)
 
     halves = F.array(half(0, (a, b, c), (a, b, d)), half(1, (a, c, d), (d, b, c)))
-    keep = [c for c in ("model_id", "vid", "axis") if c in quad_table.columns]
     return (
         quad_table.withColumn("__split", splits_at_first(resolution))
-        .select(*keep, F.explode(halves).alias("t"))
+        .select("model_id", "vid", "axis", F.explode(halves).alias("t"))
         .select(
             "model_id",
             (((F.col("vid") * 3 + F.col("axis")) * 2) + F.col("t.half")).cast("long").alias("face_key"),
