@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import derived as d
 from checks.registry import query
-from voxspark.functions.colors import voxel_color
+from voxspark.functions.colors import channels, voxel_color
 from voxspark.functions.geometry import pack_cell
 from voxspark.functions.labels import edge_description, fallback_description, rank_deficient, rank_description
 from voxspark.operators import slices
@@ -72,7 +72,7 @@ _COLORS = """
 def x8(spark, sf):
     modes = F.explode(F.array(*[F.lit(m) for m in ("occupancy", "edges", "dual", "fallback", "rank")]))
     colored = d.voxels(spark, sf).withColumn("mode", modes).withColumn("color", voxel_color("mode"))
-    return colored.select("model_id", "vid", "mode", "color.r", "color.g", "color.b")
+    return colored.select("model_id", "vid", "mode", *channels("color"))
 
 
 @query(

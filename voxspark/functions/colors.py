@@ -1,4 +1,4 @@
-"""Colours as struct<r,g,b> column expressions."""
+"""Colours as 0xRRGGBB integer columns; ``channels`` takes them apart."""
 
 from __future__ import annotations
 
@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from voxspark import constants as C
 from voxspark.functions.geometry import _col
-from voxspark.functions.labels import category_color, classify_label, is_finite, truncated
+from voxspark.functions.labels import _lookup, classify_label, is_finite, truncated
 
 
 def rgb(r, g, b) -> Column:
-    return F.struct(*[_col(v).cast("int").alias(n) for v, n in zip((r, g, b), "rgb")])
+    r, g, b = (_col(v).cast("int") for v in (r, g, b))
+    return F.shiftleft(r, 16).bitwiseOR(F.shiftleft(g, 8)).bitwiseOR(b)
+
+
+def channels(color) -> list[Column]:
+    """Columns r, g and b of a colour."""
+    return [F.shiftright(_col(color), shift).bitwiseAND(255).alias(n) for shift, n in ((16, "r"), (8, "g"), (0, "b"))]
 
 
 def _fixed(color) -> Column:
-    return rgb(*[F.lit(v) for v in color])
+    r, g, b = color
+    return F.lit((r << 16) + (g << 8) + b)
 
 
 def _byte(level: Column) -> Column:
@@ -56,8 +63,8 @@ def scalar_color(value) -> Column:
     )
 
 
-def hex_color(text) -> Column:
-    return rgb(*[F.conv(F.substring(_col(text), start, 2), 16, 10) for start in (2, 4, 6)])
+def category_rgb(category) -> Column:
+    return _lookup([(key, int(color[1:], 16)) for key, _, color in C.CATEGORIES], _col(category))
 
 
 def label_color(value, kind) -> Column:
@@ -71,7 +78,7 @@ def label_color(value, kind) -> Column:
         .when(kind == "linfinityDistanceCases", component_color(value))
         .when(category == "components", component_color(shifted))
         .when(category.isNull(), _fixed(C.NEUTRAL_RGB))
-        .otherwise(hex_color(category_color(category)))
+        .otherwise(category_rgb(category))
     )
 
 

@@ -17,36 +17,32 @@ def is_finite(value) -> Column:
 def truncated(value) -> Column:
     """Whole part towards zero as BIGINT; NULL where it is not finite, clamped beyond 64 bits."""
     value = _col(value).cast("double")
-    limit = float(2**63 - 1024)
-    bounded = F.least(F.greatest(value, F.lit(-limit)), F.lit(limit))
-    return F.when(is_finite(value), F.when(is_finite(value), bounded).cast("long"))
+    limit = 2**63 - 1
+    beyond = F.when(value > 0, F.lit(limit)).otherwise(F.lit(-limit))
+    return F.coalesce(value.try_cast("bigint"), F.when(is_finite(value), beyond))
+
+
+def _lookup(pairs, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in pairs for v in pair]), key)
 
 
 def classify_label(value, kind) -> Column:
     """Category of a label value for a volume kind; NULL for scalar fields and non-finite values."""
     label, kind = truncated(value), _col(kind)
-    picked = F.when(kind == "scalarField", F.lit(None).cast("string"))
-    picked = picked.when(kind == "linfinityDistanceCases", "linfCase")
-    picked = picked.when(kind == "boundaryMask", F.when(label == 0, "unknown").otherwise("surface"))
-    picked = picked.when(kind == "componentLabels", F.when(label == 0, "unknown").otherwise("components"))
-    default = None
-    for name, table in C.LABEL_CATEGORIES.items():
-        chain = None
-        for number, category in table.items():
-            chain = F.when(label == number, category) if chain is None else chain.when(label == number, category)
-        if name == "finalCclComponents":
-            chain = chain.when(label > max(table), "components")
-        else:
-            chain = chain.otherwise("unknown")
-        if name == "pipelineLabels":
-            default = chain
-        else:
-            picked = picked.when(kind == name, chain)
-    return F.when(label.isNotNull(), picked.otherwise(default))
-
-
-def _lookup(pairs, key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(v) for pair in pairs for v in pair]), key)
+    tables = {name: _lookup([(F.lit(n).cast("long"), c) for n, c in table.items()], label) for name, table in C.LABEL_CATEGORIES.items()}
+    above = F.when(label > max(C.LABEL_CATEGORIES["finalCclComponents"]), "components")
+    unknown = F.lit("unknown")
+    picked = (
+        F.when(kind == "scalarField", F.lit(None).cast("string"))
+        .when(kind == "linfinityDistanceCases", "linfCase")
+        .when(kind == "boundaryMask", F.when(label == 0, unknown).otherwise("surface"))
+        .when(kind == "componentLabels", F.when(label == 0, unknown).otherwise("components"))
+        .when(kind == "finalCclComponents", F.coalesce(tables["finalCclComponents"], above))
+        .when(kind == "finalCclCases", F.coalesce(tables["finalCclCases"], unknown))
+        .when(kind == "surfaceBoundaryClassification", F.coalesce(tables["surfaceBoundaryClassification"], unknown))
+        .otherwise(F.coalesce(tables["pipelineLabels"], unknown))
+    )
+    return F.when(label.isNotNull(), picked)
 
 
 def category_label(category) -> Column:
@@ -99,7 +95,8 @@ def inspector_label(value, kind, text) -> Column:
     case = F.concat(F.lit("case "), number)
     category = classify_label(value, kind)
     return (
-        F.when(
+        F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(
             (kind == "finalCclComponents") & (value > 3),
             F.concat(F.lit("component "), number_text(value - 3)),
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxspark import constants as C
 from voxspark.functions.geometry import _col
+from voxspark.functions.labels import _lookup
 from voxspark.functions.text import file_name
 
 
@@ -55,25 +56,18 @@ def volume_role(name) -> Column:
     )
 
 
-def volume_order(name) -> Column:
-    """Position of a volume among those of its folder; NULL if it is not loadable."""
+def volume_order(name, role) -> Column:
+    """Position of a volume among those of its folder; NULL if it is not loadable. ``role`` is that of volume_role."""
     name = _col(name)
-    lower = F.lower(name)
-    role = volume_role(name)["role"]
-    chain = None
-    for special, order in C.SPECIAL_VOLUME_ORDER.items():
-        chain = F.when(lower == special, F.lit(order)) if chain is None else chain.when(lower == special, F.lit(order))
-    standalone = _step(name, C.STANDALONE_PATTERN)
-    chain = chain.when(standalone.isNotNull(), standalone.cast("double"))
-    step = _step(name, r"^(\d{3})_").cast("double")
-    for value, offset in C.ROLE_ORDER_OFFSET.items():
-        chain = chain.when(role == value, step + F.lit(offset))
-    return chain
+    special = _lookup(list(C.SPECIAL_VOLUME_ORDER.items()), F.lower(name))
+    offset = _lookup(list(C.ROLE_ORDER_OFFSET.items()), _col(role))
+    return F.coalesce(
+        special,
+        _step(name, C.STANDALONE_PATTERN).cast("double"),
+        _step(name, r"^(\d{3})_").cast("double") + offset,
+    )
 
 
 def mesh_order(name) -> Column:
-    lower = F.lower(_col(name))
-    chain = None
-    for known, order in C.MESH_NAME_ORDER.items():
-        chain = F.when(lower == known, order) if chain is None else chain.when(lower == known, order)
-    return chain.otherwise(len(C.MESH_NAME_ORDER))
+    known = _lookup(list(C.MESH_NAME_ORDER.items()), F.lower(_col(name)))
+    return F.coalesce(known, F.lit(len(C.MESH_NAME_ORDER)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxspark import constants as C
 from voxspark.functions.names import is_manifest_name, is_mesh_name, mesh_order, volume_order, volume_role
 from voxspark.operators.lookup import lookup_join
+from voxspark.session import settle
 
 ROLES = tuple(C.ROLE_SCORE)
 
@@ -19,17 +20,24 @@ def listing_order(files: DataFrame) -> DataFrame:
 
 def classified_files(files: DataFrame) -> DataFrame:
     """Regular files with kind (manifest, mesh, volume), order within the kind, and prefix and role of step volumes."""
-    order = volume_order("name")
+    roles = files.where(F.col("type") == "file").withColumn("__role", volume_role("name"))
+    ordered = roles.select(
+        *files.columns,
+        F.col("__role.prefix").alias("prefix"),
+        F.col("__role.role").alias("role"),
+        volume_order("name", F.col("__role.role")).alias("__order"),
+        is_mesh_name("name").alias("__mesh"),
+    )
     kind = (
-        F.when(is_manifest_name("name"), "manifest").when(is_mesh_name("name"), "mesh").when(order.isNotNull(), "volume")
+        F.when(is_manifest_name("name"), "manifest")
+        .when(F.col("__mesh"), "mesh")
+        .when(F.col("__order").isNotNull(), "volume")
     )
-    position = F.when(is_mesh_name("name"), mesh_order("name").cast("double")).otherwise(order)
+    position = F.when(F.col("__mesh"), mesh_order("name").cast("double")).otherwise(F.col("__order"))
     return (
-        files.where(F.col("type") == "file")
-        .withColumns({"kind": kind, "ord": position, "__role": volume_role("name")})
+        ordered.withColumns({"kind": kind, "ord": position})
         .where(F.col("kind").isNotNull())
-        .select("*", F.col("__role.prefix").alias("prefix"), F.col("__role.role").alias("role"))
-        .drop("__role")
+        .drop("__order", "__mesh")
     )
 
 
@@ -86,9 +94,9 @@ def folder_selection(files: DataFrame) -> DataFrame:
     ``files`` has root, dir, ordinal (position in the listing), name and type. Sort volumes and meshes by ord and
     then by name in Unicode collation. Only the last manifest of a folder counts.
     """
-    classified = classified_files(files)
-    directories = directory_scores(classified)
-    chosen = selected_directories(candidates(classified, directories), directories)
+    classified = settle(classified_files(files))
+    directories = settle(directory_scores(classified))
+    chosen = settle(selected_directories(candidates(classified, directories), directories))
     loaded = lookup_join(
         classified.where(F.col("kind") != "manifest").select("root", "dir", "kind", "ord", "name"), chosen, ["root", "dir"]
     )

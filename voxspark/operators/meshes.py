@@ -79,8 +79,8 @@ def _corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return placed
 
 
-def vertex_normals(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Unit normals per vertex, faces weighted by area; zero where the faces cancel."""
+def vertex_normal_sums(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Sum of the area-weighted face normals around every vertex that a face uses."""
 
     def edge(to: str, c: str) -> Column:
         return F.col(f"p{to}")[c] - F.col("pb")[c]
@@ -95,15 +95,24 @@ def vertex_normals(faces: DataFrame, vertices: DataFrame) -> DataFrame:
         normal("z", "x").alias("ny"),
         normal("x", "y").alias("nz"),
     )
-    summed = weighted.groupBy("mesh_id", "vertex_id").agg(*[F.sum(n).alias(n) for n in ("nx", "ny", "nz")])
+    return weighted.groupBy("mesh_id", "vertex_id").agg(*[F.sum(n).alias(n) for n in ("nx", "ny", "nz")])
+
+
+def unit_normals(sums: DataFrame) -> DataFrame:
+    """Normals of length one; zero where the faces cancel."""
     length = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
-    return summed.select(
+    return sums.select(
         "mesh_id",
         "vertex_id",
         *[F.when(length > 0, F.col(n) / length).otherwise(F.lit(0.0)).alias(n) for n in ("nx", "ny", "nz")],
     )
 
 
+def vertex_normals(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Unit normals per vertex, faces weighted by area."""
+    return unit_normals(vertex_normal_sums(faces, vertices))
+
+
 def clip_points(points: DataFrame, axis: str, position: float) -> DataFrame:
     """Points at or below the slice plane."""
     return points.where(F.col(check_axis(axis)) <= position)

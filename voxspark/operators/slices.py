@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxspark import constants as C
-from voxspark.functions.colors import rgb, voxel_color
+from voxspark.functions.colors import _fixed, channels, voxel_color
 from voxspark.functions.geometry import cell_center, check_axis, dual_to_slice, grid_to_pixel, pixel_to_grid
 from voxspark.functions.labels import edge_description, fallback_description, rank_deficient, rank_description
 from voxspark.operators.lookup import lookup_join, salted_join
@@ -40,7 +40,7 @@ def slice_raster(pixels: DataFrame, resolution_table: DataFrame, mode="occupancy
     markers = (
         resolution_table.select("model_id", F.col("resolution").cast("int").alias("resolution"), line.alias("py"))
         .withColumn("px", F.lit(-1))
-        .withColumn("color", F.lit(None).cast("struct<r:int,g:int,b:int>"))
+        .withColumn("color", F.lit(None).cast("int"))
         .withColumn("vid", F.lit(-1).cast("long"))
     )
     active = pixels.select(
@@ -53,21 +53,18 @@ def slice_raster(pixels: DataFrame, resolution_table: DataFrame, mode="occupancy
     )
     order = Window.partitionBy("model_id", "py").orderBy("px", "vid")
     following = F.coalesce(F.lead("px").over(order), F.col("resolution"))
-    background = rgb(*[F.lit(v) for v in C.SLICE_BACKGROUND_RGB])
     runs = markers.unionByName(active).withColumn("__next", following)
     filled = runs.where((F.col("__next") > F.col("px")) & (F.col("__next") > 0)).withColumn(
         "__x", F.explode(F.sequence(F.greatest(F.col("px"), F.lit(0)), F.col("__next") - 1))
     )
     is_active = F.col("__x") == F.col("px")
-    color = F.when(is_active, F.col("color")).otherwise(background)
+    color = F.when(is_active, F.col("color")).otherwise(_fixed(C.SLICE_BACKGROUND_RGB))
     return filled.select(
         "model_id",
         F.col("__x").alias("px"),
         "py",
         is_active.alias("active"),
-        color["r"].alias("r"),
-        color["g"].alias("g"),
-        color["b"].alias("b"),
+        *channels(color),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxspark.constants import MAX_SAFE_INTEGER
-from voxspark.functions.colors import component_color, label_color
+from voxspark.functions.colors import channels, component_color, label_color
 from voxspark.functions.geometry import check_axis, node_position, pixel_to_grid, slice_height
 from voxspark.functions.labels import (
     category_color,
@@ -36,14 +36,13 @@ def volume_pixels(cells: DataFrame, volumes: DataFrame, axis: str) -> DataFrame:
     """Pixel position, category and colour of every cell of a volume slice."""
     sized = lookup_join(cells, volumes.select(*SHAPE), ["volume_id"])
     px, up = {"x": ("k", "j"), "y": ("i", "k"), "z": ("i", "j")}[check_axis(axis)]
-    color = label_color("value", "visualization")
     return sized.select(
         "volume_id",
         F.col(px).alias("px"),
         (slice_height(axis, "nx", "ny", "nz") - 1 - F.col(up)).alias("py"),
         "value",
         classify_label("value", "visualization").alias("category"),
-        *[color[c].alias(c) for c in "rgb"],
+        label_color("value", "visualization").alias("color"),
     )
 
 
@@ -78,14 +77,13 @@ def label_histogram(cells: DataFrame, label_rows: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("cells"))
         .withColumn("code", label_code("label"))
     )
-    color = component_color("label")
     case = F.concat(F.lit("case "), F.col("code"))
     text = F.coalesce("text", F.concat(F.lit("L-infinity case "), F.col("code")))
     return lookup_join(counted, label_rows, LABEL_KEY, "left").select(
         "volume_id",
         "label",
         "cells",
-        *[color[c].alias(c) for c in "rgb"],
+        *channels(component_color("label")),
         text.alias("text"),
         short_phrase(text, case).alias("phrase"),
     )
