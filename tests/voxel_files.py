@@ -1,0 +1,107 @@
+"""Writes small voxel files for tests."""
+
+from __future__ import annotations
+
+import json
+import lzma
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import zstandard
+
+
+def _pack(data: bytes, compression: str) -> bytes:
+    if compression == "deflate":
+        packer = zlib.compressobj(wbits=-15)
+        return packer.compress(data) + packer.flush()
+    if compression == "lzma":
+        return lzma.compress(data, format=lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 6}])
+    if compression == "zstd":
+        return zstandard.ZstdCompressor().compress(data)
+    return data
+
+
+def _code(cell, bits: int) -> int:
+    x, y, z = cell
+    return sum(((x >> b & 1) << 3 * b + 2) | ((y >> b & 1) << 3 * b + 1) | ((z >> b & 1) << 3 * b) for b in range(bits))
+
+
+def _tree(codes: list[int], depth: int) -> bytes:
+    def node(members: list[int], level: int) -> bytes:
+        shift = 3 * (depth - 1 - level)
+        groups = defaultdict(list)
+        for code in members:
+            groups[code >> shift & 7].append(code)
+        mask = bytes([sum(1 << child for child in groups)])
+        if level == depth - 1:
+            return mask
+        return mask + b"".join(node(groups[child], level + 1) for child in sorted(groups))
+
+    return node(codes, 0)
+
+
+def write_vxz(path, cells, dual, flags, types=None, ranks=None, chunk_size=4, compression="none", layout="all", changes=None):
+    """Write voxels chunk by chunk in file order and return that order as row indices."""
+    cells = np.asarray(cells)
+    attributes = [("dual_vertices", np.asarray(dual)), ("intersected", np.asarray(flags)[:, None])]
+    if types is not None:
+        attributes.append(("ovoxel_type", np.asarray(types)[:, None]))
+    if ranks is not None:
+        attributes.append(("qef_rank", np.asarray(ranks)[:, None]))
+    depth = chunk_size.bit_length() - 1
+    members = defaultdict(list)
+    for row, cell in enumerate(cells):
+        members[tuple(int(v) for v in cell // chunk_size)].append(row)
+    body, chunks, order = b"", [], []
+    for index in sorted(members):
+        rows = sorted(members[index], key=lambda r: _code([int(v) % chunk_size for v in cells[r]], depth))
+        order += rows
+        codes = [_code([int(v) % chunk_size for v in cells[r]], depth) for r in rows]
+        streams = {"svo": _tree(codes, depth)}
+        if layout == "all":
+            streams["attr"] = np.hstack([v[rows] for _, v in attributes]).astype(np.uint8).tobytes()
+        for name, values in attributes if layout != "all" else []:
+            if layout == "as_is":
+                streams[name] = values[rows].astype(np.uint8).tobytes()
+            else:
+                for channel in range(values.shape[1]):
+                    streams[f"{name}_{channel}"] = values[rows, channel].astype(np.uint8).tobytes()
+        chunk, offset, packed = {"idx": list(index)}, 0, b""
+        for name, data in streams.items():
+            data = _pack(data, compression)
+            chunk[name] = [offset, len(data)]
+            packed, offset = packed + data, offset + len(data)
+        chunk["ptr"] = [len(body), len(packed)]
+        body += packed
+        chunks.append(chunk)
+    header = {
+        "num_voxel": len(cells),
+        "chunk_size": chunk_size,
+        "filter": "none",
+        "compression": compression,
+        "compression_level": 6 if compression == "lzma" else None,
+        "attr_interleave": layout,
+        "attr": [[name, values.shape[1]] for name, values in attributes],
+        "chunks": chunks,
+        **(changes or {}),
+    }
+    text = json.dumps(header).encode()
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(b"VXZ\0" + (8 + len(text)).to_bytes(4, "big") + text + body)
+    return order
+
+
+def sphere(resolution: int, radius: float):
+    """Voxels of a sphere surface: cells, dual offsets and signed edge flags."""
+    corner = np.arange(resolution + 1) - resolution / 2
+    inside = corner[:, None, None] ** 2 + corner[None, :, None] ** 2 + corner[None, None, :] ** 2 < radius**2
+    low, high = slice(None, -1), slice(1, None)
+    corners = [inside[a, b, c] for a in (low, high) for b in (low, high) for c in (low, high)]
+    total = sum(c.astype(int) for c in corners)
+    far = inside[high, high, high]
+    ends = [inside[low, high, high], inside[high, low, high], inside[high, high, low]]
+    flags = sum(((e != far) * (np.where(far, 9, 1) << axis)) for axis, e in enumerate(ends))
+    cells = np.argwhere((total > 0) & (total < 8))
+    chosen = flags[tuple(cells.T)]
+    return cells, np.full((len(cells), 3), 128), chosen
