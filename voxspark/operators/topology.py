@@ -67,7 +67,8 @@ def _placed(voxels: DataFrame, carry: list[str]) -> DataFrame:
         .select(
             "model_id",
             F.explode(blocks).alias("block"),
-            _join_cells(x, y, z).alias("cell"),
+            # Never NULL here; saying so keeps a NOT NULL filter on the join key from making the exchanges differ.
+            F.coalesce(_join_cells(x, y, z), F.lit(-1).cast("long")).alias("cell"),
             tag.alias("tag"),
             *carried,
         )
@@ -106,7 +107,8 @@ def quads(voxels: DataFrame, with_dual: bool = False) -> DataFrame:
             vid.alias(f"__v_{slot + 1}"),
             *[F.col(c).alias(f"__{c}_{slot + 1}") for c in carry],
         )
-        joined = joined.withColumn(key, _neighbour_cell(slot)).join(corner, ["model_id", "block", key])
+        # Both sides are already clustered by block, so a merge join sorts in place; a broadcast would copy all voxels.
+        joined = joined.withColumn(key, _neighbour_cell(slot)).join(corner.hint("merge"), ["model_id", "block", key])
     output = [F.col("model_id"), F.col("__v_0").alias("vid"), F.col("axis"), F.col("positive")]
     for name in ["v", "cell", *carry]:
         for corner in CORNERS:

@@ -15,7 +15,7 @@ from voxspark.session import settle
 TABLES = ("voxels", "voxel_overview", "lod_vertices", "lod_faces", "metadata")
 
 
-def _publish(table: DataFrame, store: str, name: str, order: tuple[str, ...]) -> None:
+def publish(table: DataFrame, store: str, name: str, order: tuple[str, ...]) -> None:
     """Replace the written models' partitions; rows keep their order inside files, so scans can skip row groups.
 
     Range partitioning includes the order columns: a large model is written by many tasks.
@@ -78,11 +78,11 @@ def prepare(
         "source_name", F.concat(F.substring_index("model_id", "/", -1), F.lit(".vxz"))
     )
 
-    _publish(corpus.voxels, store, "voxels", ("chunk_no", "chunk_rank"))
-    _publish(systematic_sample(corpus.voxels, point_budget), store, "voxel_overview", ("vid",))
-    _publish(vertices, store, "lod_vertices", ("vertex_id",))
-    _publish(faces, store, "lod_faces", ("face_key",))
-    _publish(metadata, store, "metadata", ())
+    publish(corpus.voxels, store, "voxels", ("chunk_no", "chunk_rank"))
+    publish(systematic_sample(corpus.voxels, point_budget), store, "voxel_overview", ("vid",))
+    publish(vertices, store, "lod_vertices", ("vertex_id",))
+    publish(faces, store, "lod_faces", ("face_key",))
+    publish(metadata, store, "metadata", ())
     no_reason = F.lit(None).cast("string").alias("reason")
     return (
         corpus.resolutions.select("model_id", F.lit("ready").alias("status"), no_reason)

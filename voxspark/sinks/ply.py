@@ -8,6 +8,7 @@ a folder all executors share; writing a row twice writes the same bytes, so retr
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -93,7 +94,7 @@ def _runs(starts: np.ndarray, width: int) -> Iterator[slice]:
 
 class PlyWriter(DataSourceArrowWriter):
     def __init__(self, folder: str):
-        self.folder, self.token = folder.removeprefix("file://"), uuid.uuid4().hex
+        self.folder, self.token = re.sub(r"^file:/+", "/", folder), uuid.uuid4().hex
 
     def _staged(self, mesh_id: str) -> str:
         folder, name = os.path.split(os.path.join(self.folder, mesh_id))

@@ -38,13 +38,13 @@ def latest_progress(lines: DataFrame) -> DataFrame:
     )
 
 
-def follow_progress(lines: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+def follow_progress(lines: DataFrame, name: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Keep the latest state of every job in an in-memory table; state grows with jobs, not with lines."""
-    return (
+    writer = (
         latest_progress(lines)
         .writeStream.outputMode("complete")
         .format("memory")
         .queryName(name)
         .option("checkpointLocation", checkpoint)
-        .start()
     )
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
