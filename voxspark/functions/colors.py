@@ -30,13 +30,11 @@ def _byte(level: Column) -> Column:
 
 
 def _hue_level(low: float, high: float, hue: Column) -> Column:
-    turn = F.when(hue < 0, hue + 1).when(hue > 1, hue - 1).otherwise(hue)
-    return (
-        F.when(turn < 1 / 6, low + (high - low) * 6 * turn)
-        .when(turn < 1 / 2, high)
-        .when(turn < 2 / 3, low + (high - low) * (F.lit(2 / 3) - turn) * 6)
-        .otherwise(low)
-    )
+    """Channel level of a hue: up over the first sixth of the circle, level to a half, down to two thirds."""
+    turn = hue - F.floor(hue)
+    gap = high - low
+    ramp = F.least(gap * 6 * turn, gap * (F.lit(2 / 3) - turn) * 6, F.lit(gap))
+    return low + F.greatest(ramp, F.lit(0.0))
 
 
 def component_color(label) -> Column:
@@ -75,8 +73,7 @@ def label_color(value, kind) -> Column:
     return (
         F.when(kind == "scalarField", scalar_color(value))
         .when(~is_finite(value), _fixed(C.NEUTRAL_RGB))
-        .when(kind == "linfinityDistanceCases", component_color(value))
-        .when(category == "components", component_color(shifted))
+        .when((kind == "linfinityDistanceCases") | (category == "components"), component_color(shifted))
         .when(category.isNull(), _fixed(C.NEUTRAL_RGB))
         .otherwise(category_rgb(category))
     )

@@ -42,8 +42,7 @@ def salted_join(
     """
     on = list(on)
     counts = facts.groupBy(*on).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    floor = max(hot_rows, -(-total // HOT_KEYS))
+    floor = max(hot_rows, -(-facts.count() // HOT_KEYS))
     hot = F.broadcast(counts.where(F.col("__n") >= floor).select(*on, F.lit(True).alias("__hot")))
 
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(SALTS)).cast("int")

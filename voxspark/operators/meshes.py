@@ -9,6 +9,7 @@ from voxspark.constants import MIN_NORMALIZABLE_EDGE
 from voxspark.functions.geometry import check_axis
 from voxspark.functions.labels import is_finite
 from voxspark.operators.lookup import lookup_join
+from voxspark.session import settle
 
 BOUNDS = ("min_x", "min_y", "min_z", "max_x", "max_y", "max_z")
 
@@ -64,7 +65,7 @@ def normalize_to_bounds(vertices: DataFrame, targets: DataFrame) -> DataFrame:
         fitted = (F.col(c) - F.col(f"__from_{c}")) * F.col("__scale") + F.col(f"__to_{c}")
         return F.when(F.col("normalized"), fitted).otherwise(F.col(c)).alias(c)
 
-    return lookup_join(vertices, moves, ["mesh_id"]).select(
+    return lookup_join(vertices, settle(moves), ["mesh_id"]).select(
         "mesh_id", "vertex_id", *[moved(c) for c in "xyz"], "normalized"
     )
 

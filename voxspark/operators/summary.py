@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxspark.constants import FORMAT_VERSION, MAX_ATTRIBUTE_CASE, MESH_FACE_BUDGET, POINT_BUDGET, STORE_VERSION
 from voxspark.functions.geometry import dual_position_f32
 from voxspark.operators.lookup import lookup_join
+from voxspark.session import settle
 
 
 def resolutions(voxels: DataFrame, requested: DataFrame | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def preview_stride(count, budget: int = POINT_BUDGET) -> Column:
 def systematic_sample(rows: DataFrame, budget: int, ordinal: str = "vid", group: str = "model_id") -> DataFrame:
     """Every stride-th row of each group by dense ordinal, at most ``budget`` rows per group."""
     counts = rows.groupBy(group).agg(F.count("*").alias("__n"))
-    strides = counts.select(group, preview_stride("__n", budget).alias("__stride"))
+    strides = settle(counts.select(group, preview_stride("__n", budget).alias("__stride")))
     return lookup_join(rows, strides, [group]).where(F.col(ordinal) % F.col("__stride") == 0).drop("__stride")
 
 

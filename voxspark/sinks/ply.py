@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from voxspark.operators.lookup import lookup_join
+from voxspark.session import settle
 
 VERTEX = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4")])
 FACE = np.dtype([("n", "u1"), ("a", "<i4"), ("b", "<i4"), ("c", "<i4")])
@@ -47,13 +48,13 @@ def ply_rows(meshes: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFr
     header = F.format_string(HEADER, "source", "resolution", "vertex_count", "face_count")
     layout = counts.withColumn("header", header).withColumn("start", F.octet_length("header").cast("long"))
     face_start = F.col("start") + VERTEX.itemsize * F.col("vertex_count")
-    layout = layout.select(
+    layout = settle(layout.select(
         "mesh_id",
         "header",
         "start",
         face_start.alias("face_start"),
         (face_start + FACE.itemsize * F.col("face_count")).alias("total_bytes"),
-    )
+    ))
     heads = layout.select("mesh_id", "total_bytes", F.lit(0).cast("long").alias("offset"), "header")
     small = layout.drop("header")
     points = lookup_join(vertices, small, ["mesh_id"]).select(
