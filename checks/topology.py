@@ -131,10 +131,11 @@ ids AS (
 
 
 def _grid(spark, sf):
-    """Voxels, and quad count, cluster width and resolution per model."""
+    """Voxels, quads, and quad count, cluster width and resolution per model; quads are found once and read often."""
     v = settle(d.voxels(spark, sf))
-    counts = t.quads(v).groupBy("model_id").agg(F.count("*").alias("quad_count"))
-    return v, settle(cluster_widths(counts, BUDGET).withColumn("resolution", F.lit(R)))
+    surface = settle(t.quads(v, with_dual=True))
+    counts = surface.groupBy("model_id").agg(F.count("*").alias("quad_count"))
+    return v, surface, settle(cluster_widths(counts, BUDGET).withColumn("resolution", F.lit(R)))
 
 
 @query(
@@ -242,7 +243,8 @@ def f7_faces(spark, sf):
     ("voxels",),
 )
 def a12(spark, sf):
-    return _grid(spark, sf)[1].select("model_id", "quad_count", "cluster_width")
+    counts = t.quads(d.voxels(spark, sf)).groupBy("model_id").agg(F.count("*").alias("quad_count"))
+    return cluster_widths(counts, BUDGET)
 
 
 @query(
@@ -261,7 +263,8 @@ def a12(spark, sf):
     ("voxels",),
 )
 def a6(spark, sf):
-    clusters = lod.cluster_vertices(*_grid(spark, sf))
+    v, _, grid = _grid(spark, sf)
+    clusters = lod.cluster_vertices(v, grid)
     return clusters.select("model_id", "cluster", "members", *[F.round(c, 6).alias(f"p{c}") for c in "xyz"])
 
 
@@ -279,7 +282,8 @@ def a6(spark, sf):
     ("voxels",),
 )
 def w2(spark, sf):
-    keys = lod.cluster_vertices(*_grid(spark, sf)).select("model_id", "cluster")
+    v, _, grid = _grid(spark, sf)
+    keys = settle(lod.cluster_vertices(v, grid).select("model_id", "cluster"))
     return dense_ordinals(keys, "cluster", "cluster_id")
 
 
@@ -292,8 +296,8 @@ def w2(spark, sf):
     ("voxels",),
 )
 def j3(spark, sf):
-    v, grid = _grid(spark, sf)
-    quads = lod.lookup_join(t.quads(v, with_dual=True), grid.select(*lod.GRID), ["model_id"])
+    v, surface, grid = _grid(spark, sf)
+    quads = lod.lookup_join(surface, grid.select(*lod.GRID), ["model_id"])
     keys = [
         lod.cluster_key(unpack_cell(f"cell{n}"), unpack_dual(f"dual{n}")).alias(f"cluster{n}") for n in t.CORNERS
     ]
@@ -305,14 +309,14 @@ def j3(spark, sf):
 
 @query("d1_distinct_triangles", "WITH " + LOD + " SELECT model_id, face_key, a, b, c FROM lod_faces", ("voxels",))
 def d1(spark, sf):
-    v, grid = _grid(spark, sf)
-    return lod.lod_faces(t.quads(v, with_dual=True), grid)
+    v, surface, grid = _grid(spark, sf)
+    return lod.lod_faces(surface, grid)
 
 
 @query("f5_non_degenerate", "WITH " + LOD + " SELECT model_id, face_key, a, b, c FROM ranked", ("voxels",))
 def f5(spark, sf):
-    v, grid = _grid(spark, sf)
-    quads = lod.lookup_join(t.quads(v, with_dual=True), grid.select(*lod.GRID), ["model_id"])
+    v, surface, grid = _grid(spark, sf)
+    quads = lod.lookup_join(surface, grid.select(*lod.GRID), ["model_id"])
     keys = [
         lod.cluster_key(unpack_cell(f"cell{n}"), unpack_dual(f"dual{n}")).alias(f"cluster{n}") for n in t.CORNERS
     ]
@@ -321,8 +325,8 @@ def f5(spark, sf):
 
 @query("d2_used_vertices", "WITH " + LOD + " SELECT model_id, cluster AS vertex FROM used", ("voxels",))
 def d2(spark, sf):
-    v, grid = _grid(spark, sf)
-    return lod.used_vertices(lod.lod_faces(t.quads(v, with_dual=True), grid))
+    v, surface, grid = _grid(spark, sf)
+    return lod.used_vertices(lod.lod_faces(surface, grid))
 
 
 @query(
@@ -337,8 +341,8 @@ def d2(spark, sf):
     ("voxels",),
 )
 def w4(spark, sf):
-    v, grid = _grid(spark, sf)
-    return lod.lod_mesh(v, grid)[1]
+    v, surface, grid = _grid(spark, sf)
+    return lod.lod_mesh(v, grid, surface)[1]
 
 
 @query(
@@ -351,7 +355,8 @@ def w4(spark, sf):
     ("voxels",),
 )
 def a16(spark, sf):
-    vertices = lod.lod_mesh(*_grid(spark, sf))[0]
+    v, surface, grid = _grid(spark, sf)
+    vertices = lod.lod_mesh(v, grid, surface)[0]
     return vertices.select(
         "model_id", "vertex_id", *[F.round(F.col(c).cast("double"), 6).alias(f"p{c}") for c in "xyz"]
     )
@@ -391,10 +396,10 @@ def w1(spark, sf):
     ("voxels",),
 )
 def a1(spark, sf):
-    v, grid = _grid(spark, sf)
+    v, surface, grid = _grid(spark, sf)
     summary = model_summary(v, grid)
     widths = grid.select("model_id", "quad_count", "cluster_width")
-    vertices, faces = lod.lod_mesh(v, grid)
+    vertices, faces = lod.lod_mesh(v, grid, surface)
     metadata = model_metadata(summary, widths, vertices, faces, point_budget=1000)
     return metadata.select(
         "model_id",
