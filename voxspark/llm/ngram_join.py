@@ -6,8 +6,9 @@ held against each other separately:
 1. Parts travel packed, one row per batch of documents and fragment. A fragment finds which of its n-grams occur in more than
    one document, and how often. Only these return to their documents. A document that shares less than the threshold's part
    of its set with anyone is out, which most are.
-2. Ordered by rising frequency, only the n-grams of a document's prefix can lead to a partner (prefix filter). Each n-gram
-   first pairs its documents with one leader. Then only pairs of different components that no leader has joined are left.
+2. Ordered by rising frequency, only the n-grams of a document's prefix can lead to a partner (prefix filter). Each document
+   first tries the least leader of its n-grams, then a leader of each n-gram that is not in its component yet. Then only
+   pairs of different components that no leader has joined are left, and all of these are tried.
 3. For a pair, every fragment counts its partial overlap, and the sum per pair decides.
 
 So a group of near copies costs a pair per member, not one per two members, and no link between components is lost.
@@ -247,9 +248,15 @@ def shared_profiles(df: DataFrame, doc_id: str, text: str, width: int, percent:
     return settle(packed.groupBy("place").applyInArrow(profile, PROFILE))
 
 
-def _possible(n_a: Column, m_a: Column, n_b: Column, m_b: Column, percent: int) -> Column:
-    """Whether two sets of n n-grams, of which m are shared with anyone, can still reach the threshold."""
-    most = F.least(m_a, m_b)
+def _sides(other: str) -> tuple[Column, ...]:
+    """n, m and place of the n-gram of a row's document and of the one in the struct ``other``."""
+    return tuple(F.col(c) for c in ("n", "m", "at", f"{other}.n", f"{other}.m", f"{other}.at"))
+
+
+def _possible(percent: int, n_a: Column, m_a: Column, at_a: Column, n_b: Column, m_b: Column, at_b: Column) -> Column:
+    """Whether two sets of n n-grams, m of them shared with anyone, can reach the threshold if the n-gram in place ``at`` of
+    each one's shared n-grams is the first that they have in common. It holds for every link at its first common n-gram."""
+    most = F.least(m_a - at_a, m_b - at_b)
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (100 * most >= percent * (n_a + n_b - most))
 
 
@@ -278,17 +285,26 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # The prefix: all but the last ceil(percent * n / 100) - 1 n-grams, of which the n - m that nobody shares come first.
     needed = F.ceil(F.col("n") * percent / 100)
     active = settle(active.select("doc", "n", "m", "grams", (F.col("m") - needed + 1).cast("int").alias("prefix")))
-    postings = active.select("doc", "n", "m", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("gram"))
-    lists = postings.groupBy("gram").agg(F.min(F.struct("doc", "n", "m")).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    postings = settle(postings.join(lists, "gram").select("gram", "doc", "n", "m", "leader"))
+    postings = active.select("doc", "n", "m", F.posexplode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("at", "gram"))
+    lists = postings.groupBy("gram").agg(F.min(F.struct("doc", "n", "m", "at")).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    postings = settle(postings.join(lists, "gram").select("gram", "doc", "n", "m", "at", "leader"))
     met = active.join(postings.select("doc").distinct(), "doc", "left_semi")
     segments = met.select("doc", "n", F.posexplode(_cut("grams")).alias("fragment", "part"))
     segments = settle(segments.where(F.size("part") > 0))
-    lead = F.col("leader")
-    stars = postings.where((F.col("doc") != lead["doc"]) & _possible(F.col("n"), F.col("m"), lead["n"], lead["m"], percent))
-    stars = stars.select(F.col("doc").alias("a"), lead["doc"].alias("b")).distinct()
+    # At first each document tries the least leader of its n-grams, which near copies have in common.
+    stars = postings.where(_possible(percent, *_sides("leader")) & (F.col("doc") != F.col("leader.doc")))
+    stars = stars.groupBy(F.col("doc").alias("a")).agg(F.min("leader.doc").alias("b"))
     linked = settle(_verified(stars, segments, percent))
-    crossed = settle(_verified(_cross_pairs(postings, components(linked), percent), segments, percent))
+    postings = postings.drop("leader")
+    rows = _with_components(postings, components(linked))
+    draw = F.struct(F.xxhash64("doc").alias("draw"), "doc", "n", "m", "at", "component")
+    leaders = rows.groupBy("gram").agg(F.min(draw).alias("leader"))
+    stars = rows.join(leaders, "gram").where(_possible(percent, *_sides("leader")) & (F.col("component") != F.col("leader.component")))
+    stars = stars.select(F.col("doc").alias("a"), F.col("leader.doc").alias("b")).distinct()
+    linked = settle(linked.unionByName(_verified(stars, segments, percent)))
+    # N-grams whose documents were of one component have nothing left to try.
+    rows = _with_components(rows.select(*postings.columns), components(linked))
+    crossed = settle(_verified(_cross_pairs(rows, percent), segments, percent))
     joined = components(linked.unionByName(crossed).unionByName(copies)).withColumnRenamed("node", "doc")
     told = profiles.select("doc", "n").join(joined, "doc", "left")
     return told.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
@@ -304,22 +320,28 @@ def _inside(k: int) -> Callable[[Column], Column]:
     return lambda gram: F.shiftright(gram, GRAM_BITS - 3).bitwiseAND(F.lit(OVERLAP_FRAGMENTS - 1)) == k
 
 
-def _cross_pairs(postings: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share an n-gram and that no leader has tried.
+def _with_components(postings: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of n-grams whose documents are of several components so far, with their ``component`` and the largest one of
+    the n-gram (``top``)."""
+    rows = postings.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    sizes = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("size"))
+    whole = sizes.groupBy("gram").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    whole = whole.where("parts > 1").select("gram", F.col("top.component").alias("top"))
+    return settle(rows.join(whole, "gram").select(*rows.columns, "top"))
+
+
+def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share an n-gram.
 
     In each n-gram's list, documents outside its largest component meet all others, so that the largest one, which may be
     most of the list, never meets itself.
     """
-    rows = postings.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    rows = settle(rows.select("gram", "doc", "n", "m", F.col("leader.doc").alias("leader"), "component"))
-    sizes = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("gram").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed_rows = rows.where("doc <> leader").join(largest.select("gram", F.col("top.component").alias("top")), "gram")
-    few = mixed_rows.where("component <> top").select("gram", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "m", "component")])
-    every = mixed_rows.select("gram", "top", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "m", "component")])
+    few = rows.where("component <> top").select("gram", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "m", "at", "component")])
+    every = rows.select("gram", "top", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "m", "at", "component")])
+    sides = [F.col(f"{c}_{side}") for side in "ab" for c in ("n", "m", "at")]
     met = few.join(every, "gram").where(
         (F.col("component_a") != F.col("component_b"))
         & ((F.col("component_b") == F.col("top")) | (F.col("doc_a") < F.col("doc_b")))
-        & _possible(F.col("n_a"), F.col("m_a"), F.col("n_b"), F.col("m_b"), percent)
+        & _possible(percent, *sides)
     )
     return met.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
