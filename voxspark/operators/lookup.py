@@ -5,50 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-HOT_KEYS = 4096
-HOT_ROWS = 1_000_000
-SALTS = 64
 
-
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    *,
-    broadcast_rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join facts to a lookup that has at most one row per key.
 
-    A lookup whose counted size is at most ``broadcast_rows`` is broadcast. A larger one is joined by shuffle, with
-    keys that hold many facts spread over ``SALTS`` partitions.
-    """
-    if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return facts.join(F.broadcast(lookup), list(on), how)
-    return salted_join(facts, lookup, on, how, hot_rows=hot_rows)
-
-
-def salted_join(
-    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", *, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Shuffle join that spreads hot fact keys; the lookup is unique on the key.
-
-    Hot keys hold at least ``hot_rows`` facts and at least 1/HOT_KEYS of all of them, so there are at most HOT_KEYS
-    of them: they can always be broadcast, and only their lookup rows are copied per salt.
+    A plain join: adaptive execution broadcasts a lookup that turns out small in bytes, and splits the partition of a
+    key that holds many facts by rows, equal ones too. No job runs while the plan is built.
     """
-    on = list(on)
-    counts = facts.groupBy(*on).agg(F.count("*").alias("__n"))
-    floor = max(hot_rows, -(-facts.count() // HOT_KEYS))
-    hot = F.broadcast(counts.where(F.col("__n") >= floor).select(*on, F.lit(True).alias("__hot")))
-
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(SALTS)).cast("int")
-    salted_facts = facts.join(hot, on, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_lookup = lookup.join(hot, on, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    return salted_facts.drop("__hot").join(salted_lookup, [*on, "__salt"], how).drop("__salt")
+    return facts.join(lookup, list(on), how)

@@ -9,7 +9,7 @@ from voxspark import constants as C
 from voxspark.functions.colors import _fixed, channels, voxel_color
 from voxspark.functions.geometry import cell_center, check_axis, dual_to_slice, grid_to_pixel, pixel_to_grid
 from voxspark.functions.labels import edge_description, fallback_description, rank_deficient, rank_description
-from voxspark.operators.lookup import lookup_join, salted_join
+from voxspark.operators.lookup import lookup_join
 from voxspark.operators.summary import case_counts
 
 VALUES = ("vid", "dx", "dy", "dz", "flags", "ovoxel_type", "qef_rank")
@@ -101,7 +101,7 @@ def inspect(probes: DataFrame, voxels: DataFrame, resolution_table: DataFrame) -
     grid = pixel_to_grid("axis", "idx", "px", "py", "resolution")
     located = sized.withColumns({n: c.cast("int") for n, c in zip("xyz", grid)})
     record = voxels.select("model_id", "x", "y", "z", *VALUES)
-    found = salted_join(located, record, ["model_id", "x", "y", "z"], "left")
+    found = lookup_join(located, record, ["model_id", "x", "y", "z"], "left")
     active = F.col("vid").isNotNull()
     projected = dual_to_slice("axis", ("x", "y", "z"), ("dx", "dy", "dz"), "resolution")
 

@@ -61,7 +61,7 @@ def _placed(voxels: DataFrame, carry: list[str]) -> DataFrame:
     interior = x.bitwiseAND(edge) * y.bitwiseAND(edge) * z.bitwiseAND(edge) != 0
     blocks = F.when(interior, F.array(_block_of(x, y, z))).otherwise(F.array_distinct(F.array(*homes)))
     carried = [pack_dual("dx", "dy", "dz").alias("dual")] if carry else []
-    tag = F.shiftleft(F.col("vid").cast("long"), FLAG_BITS).bitwiseOR(F.col("flags").cast("long"))
+    tag = F.shiftleft(F.col("vid").cast("long"), FLAG_BITS).bitwiseOR(F.col("flags").cast("long").bitwiseAND((1 << FLAG_BITS) - 1))
     return (
         voxels.where(fits_key("x", "y", "z"))
         .select(
@@ -183,12 +183,17 @@ def non_degenerate(triangle_table: DataFrame) -> DataFrame:
 
 def distinct_triangles(triangle_table: DataFrame) -> DataFrame:
     """One triangle per set of corners, with the winding of the first."""
-    return (
-        triangle_table.withColumn("__corners", F.array_sort(F.array("a", "b", "c")))
-        .groupBy("model_id", "__corners")
-        .agg(
-            F.min_by(F.struct("a", "b", "c"), "face_key").alias("t"),
-            F.min("face_key").alias("face_key"),
-        )
-        .select("model_id", "face_key", "t.a", "t.b", "t.c")
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    low, high = F.least(a, b, c), F.greatest(a, b, c)
+    # The ranks of a and b among the corners travel in the key, so that all is grouped and kept as whole numbers.
+    ranks = ((a > b).cast("int") + (a > c).cast("int")) * 3 + (b > a).cast("int") + (b > c).cast("int")
+    first = (
+        triangle_table.select("model_id", low.alias("__0"), (a + b + c - low - high).alias("__1"), high.alias("__2"), (F.col("face_key") * 9 + ranks).alias("__key"))
+        .groupBy("model_id", "__0", "__1", "__2")
+        .agg(F.min("__key").alias("__key"))
     )
+    corners = F.array("__0", "__1", "__2")
+    code = (F.col("__key") % 9).cast("int")
+    placed = first.withColumn("a", corners[F.expr("cast(__key % 9 div 3 AS INT)")]).withColumn("b", corners[code % 3])
+    total = F.col("__0") + F.col("__1") + F.col("__2")
+    return placed.select("model_id", F.expr("__key div 9").alias("face_key"), "a", "b", (total - F.col("a") - F.col("b")).alias("c"))

@@ -20,7 +20,7 @@ from voxspark.functions.labels import (
     short_phrase,
     truncated,
 )
-from voxspark.operators.lookup import lookup_join, salted_join
+from voxspark.operators.lookup import lookup_join
 
 NODE_AXIS = {"x": "i", "y": "j", "z": "k"}
 SHAPE = ("volume_id", "nx", "ny", "nz", "visualization")
@@ -104,7 +104,7 @@ def inspect(probes: DataFrame, cells: DataFrame, volumes: DataFrame, label_rows:
     sized = lookup_join(probes, volumes.select(*SHAPE), ["volume_id"])
     node = pixel_to_grid("axis", "idx", "px", "py", slice_height("axis", "nx", "ny", "nz"))
     located = sized.withColumns({n: c.cast("int") for n, c in zip("ijk", node)})
-    found = salted_join(located, cells.select("volume_id", "i", "j", "k", "value"), ["volume_id", "i", "j", "k"], "left")
+    found = lookup_join(located, cells.select("volume_id", "i", "j", "k", "value"), ["volume_id", "i", "j", "k"], "left")
     found = lookup_join(found.withColumn("code", label_code("value")), label_rows, LABEL_KEY, "left")
     scalar = F.col("visualization") == "scalarField"
     category = classify_label("value", "visualization")

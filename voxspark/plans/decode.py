@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +30,17 @@ def exact_mesh(corpus: Corpus) -> tuple[DataFrame, DataFrame]:
 
 def existing_outputs(files: DataFrame, folder: str) -> DataFrame:
     """model_id of the files whose PLY is already in the folder; only the folder's listing is read."""
-    found = (
+    reader = (
         files.sparkSession.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.ply")
-        .load(folder)
-        .select("path")
     )
+    try:
+        found = reader.load(folder).select("path")
+    except AnalysisException as error:  # a folder that is still to be made holds no output
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return files.select("model_id").limit(0)
     base = folder.removeprefix("file://").rstrip("/") + "/"
     inside = F.regexp_replace("path", r"^file:/+", "/")
     name = F.substring(inside, len(base) + 1, 2**31 - 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import re
 from dataclasses import dataclass
 
@@ -40,6 +41,20 @@ def volume_kind(name: str) -> str | None:
     return next((kind for pattern, kind in C.VOLUME_KIND_PATTERNS if re.match(pattern, base)), None)
 
 
+#: Entries of an array header, which is written as a Python dictionary, and their types.
+HEADER_FIELDS = {"descr": str, "fortran_order": bool, "shape": tuple}
+
+
+def _literal(text: str) -> dict:
+    try:
+        fields = ast.literal_eval(text.strip())
+    except (SyntaxError, ValueError, MemoryError, RecursionError) as error:
+        raise ValueError("unreadable NumPy header") from error
+    if not isinstance(fields, dict) or any(type(fields.get(name)) is not kind for name, kind in HEADER_FIELDS.items()):
+        raise ValueError("unreadable NumPy header")
+    return fields
+
+
 def read_npy_header(handle, size: int, name: str) -> NpyHeader:
     prefix = read_range(handle, 0, 12)
     if len(prefix) < 12 or prefix[:6] != b"\x93NUMPY":
@@ -49,23 +64,19 @@ def read_npy_header(handle, size: int, name: str) -> NpyHeader:
     start, width = (10, 2) if prefix[6] == 1 else (12, 4)
     length = int.from_bytes(prefix[8 : 8 + width], "little")
     text = read_range(handle, start, length).decode("latin1")
-    descr = re.search(r"'descr'\s*:\s*'([^']+)'", text)
-    fortran = re.search(r"'fortran_order'\s*:\s*(True|False)", text)
-    shape = re.search(r"'shape'\s*:\s*\(([^)]*)\)", text)
-    if not (descr and fortran and shape):
-        raise ValueError("unreadable NumPy header")
-    sides = tuple(int(side) for side in shape[1].split(",") if side.strip())
-    if not sides or min(sides) <= 0:
+    fields = _literal(text)
+    descr, sides = fields["descr"], fields["shape"]
+    if not sides or any(type(side) is not int or side <= 0 for side in sides):
         raise ValueError("invalid array shape")
     try:
-        dtype = np.dtype(descr[1])
+        dtype = np.dtype(descr)
     except TypeError as error:
-        raise ValueError(f"unsupported dtype {descr[1]}") from error
+        raise ValueError(f"unsupported dtype {descr}") from error
     if dtype.itemsize not in DTYPES.get(dtype.kind, ()):
-        raise ValueError(f"unsupported dtype {descr[1]}")
-    header = NpyHeader(descr[1], fortran[1] == "True", sides, start + length, volume_kind(name) or "")
+        raise ValueError(f"unsupported dtype {descr}")
+    header = NpyHeader(descr, fields["fortran_order"], sides, start + length, volume_kind(name) or "")
     if size - header.offset < dtype.itemsize * int(np.prod(sides, dtype=np.int64)):
-        raise ValueError(f"data is shorter than expected for dtype {descr[1]}")
+        raise ValueError(f"data is shorter than expected for dtype {descr}")
     if not header.kind:
         raise ValueError("file name is not a known volume name")
     if len(sides) != 3:

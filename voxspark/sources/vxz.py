@@ -93,7 +93,7 @@ def _header_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row.update({f: getattr(header, f) for f in VXZ_HEADERS.names if hasattr(header, f)})
                 row["attributes"] = [{"name": n, "channels": c} for n, c in header.attributes]
                 row["chunk_count"] = len(header.chunks)
-            except (ValueError, OSError) as error:
+            except (ValueError, OSError, OverflowError) as error:
                 row["error"] = f"{type(error).__name__}: {error}"
             rows.append(row)
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -128,7 +128,7 @@ def _decode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     columns = read_chunk(handle, handle.size(), read_header(handle), row["chunk_no"])
                 arrays = _chunk_batch(row["model_id"], row["chunk_no"], columns)
                 yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(arrays[0]), pa.string())], schema=schema)
-            except (ValueError, OSError, RuntimeError) as error:
+            except (ValueError, OSError, RuntimeError, OverflowError) as error:
                 failed = {"model_id": row["model_id"], "chunk_no": row["chunk_no"], "error": str(error)}
                 yield pa.RecordBatch.from_pylist([failed], schema=schema)
 

@@ -41,19 +41,20 @@ def content_identities(files: DataFrame, resolution: int | None = None) -> DataF
 
 def prepare_batch(files: DataFrame, store: str, resolution: int | None = None) -> DataFrame:
     """Prepare new content once: equal bytes share an id, and ids the store holds are left alone."""
-    usable = files.where((F.col("length") > 0) & (F.col("length") <= MAX_INPUT_BYTES))
-    identified = settle(content_identities(usable, resolution))
+    identified = settle(content_identities(files, resolution))
     inputs = identified.groupBy("id").agg(F.min("path").alias("path"), F.max("length").alias("length"))
     return prepare(inputs.withColumnRenamed("id", "model_id"), store, resolution)
 
 
 def ingest(
-    spark: SparkSession, folder: str, store: str, checkpoint: str, resolution: int | None = None
+    spark: SparkSession, folder: str, store: str, checkpoint: str, resolution: int | None = None, every: str | None = None
 ) -> StreamingQuery:
     """Watch a folder and prepare each new voxel file once.
 
     The stream's checkpoint remembers files, the store remembers contents, and preparing replaces whole models, so a
-    batch that is repeated after a failure gives the same store.
+    batch that is repeated after a failure gives the same store. Every file has a status, empty and broken ones too: the
+    statuses of a batch are appended to ``jobs`` in the store. ``every`` (as "1 minute") keeps watching at that pace; by
+    default the query ends when all files present are prepared.
     """
     arriving = (
         spark.readStream.format("binaryFile")
@@ -63,9 +64,10 @@ def ingest(
         .load(folder)
         .select("path", "length")
     )
-    return (
-        arriving.writeStream.foreachBatch(lambda batch, _: prepare_batch(settle(batch), store, resolution).count())
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+    def prepare_one(batch: DataFrame, number: int) -> None:
+        statuses = prepare_batch(settle(batch), store, resolution).withColumn("batch", F.lit(number).cast("long"))
+        statuses.write.mode("append").parquet(f"{store}/jobs")
+
+    writer = arriving.writeStream.foreachBatch(prepare_one).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
