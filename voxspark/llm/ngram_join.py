@@ -84,6 +84,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PACKED.split(", ")])
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Start and stop of each run of equal values, none of which is negative."""
+    starts = np.flatnonzero(np.diff(values, prepend=-1)).tolist()
+    return list(zip(starts, [*starts[1:], len(values)], strict=True)) if starts else []
+
+
 def _pack_batch(docs: list[int], sets: list[np.ndarray], hot: np.ndarray, fragment_bits: int, number: int) -> list[tuple]:
     """Rows of a batch: one per fragment with the parts of its documents, and one of the documents themselves.
 
@@ -131,8 +137,7 @@ def _pack_batch(docs: list[int], sets: list[np.ndarray], hot: np.ndarray, fragme
         grams, owners, fragments = grams[by], owners[by], fragments[by]
         low, high = grams.astype(np.uint32), (grams >> np.uint64(32)).astype(np.uint8)
         kept_ids = np.array(kept_ids, np.int64)
-        cuts = np.flatnonzero(np.diff(fragments, prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(fragments)], strict=True):
+        for a, b in _runs(fragments):
             starts = np.flatnonzero(np.diff(owners[a:b], prepend=-1))
             counts = np.diff(np.append(starts, b - a)).astype(np.uint32)
             out.append(_packed(int(fragments[a]), 1, kept_ids[owners[a:b][starts]], counts, low[a:b], high[a:b]))
@@ -158,8 +163,7 @@ def _shared(group: pa.Table, buckets: int) -> list[tuple]:
     places = _bucket(docs, buckets)
     by = np.lexsort((docs, places))
     grams, docs, times, places = grams[by], docs[by], times[by].astype(np.uint32), places[by]
-    cuts = np.flatnonzero(np.diff(places, prepend=-1))
-    return [_packed(int(places[a]), 1, docs[a:b], times[a:b], grams[a:b]) for a, b in zip(cuts, [*cuts[1:], len(places)], strict=True)]
+    return [_packed(int(places[a]), 1, docs[a:b], times[a:b], grams[a:b]) for a, b in _runs(places)]
 
 
 def _deal_documents(group: pa.Table, buckets: int) -> list[tuple]:

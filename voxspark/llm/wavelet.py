@@ -123,7 +123,8 @@ class WaveletMatrix:
 
     def count(self, token: int, start: int = 0, stop: int | None = None) -> int:
         """Occurrences of a token at positions start to stop - 1."""
-        a, b = self._range(token, start, self.length if stop is None else stop)
+        stop = self.length if stop is None else stop
+        a, b = self._range(token, start, stop) if start < stop else (0, 0)
         return b - a
 
     def select(self, token: int, k: int) -> int:
