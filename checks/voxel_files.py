@@ -1,4 +1,4 @@
-"""Writes small voxel files for tests."""
+"""Writes small voxel files for tests and round trips."""
 
 from __future__ import annotations
 
@@ -41,8 +41,8 @@ def _tree(codes: list[int], depth: int) -> bytes:
     return node(codes, 0)
 
 
-def write_vxz(path, cells, dual, flags, types=None, ranks=None, chunk_size=4, compression="none", layout="all", changes=None):
-    """Write voxels chunk by chunk in file order and return that order as row indices."""
+def vxz_bytes(cells, dual, flags, types=None, ranks=None, chunk_size=4, compression="none", layout="all", changes=None):
+    """(bytes of a file, its order of voxels as row indices); voxels are stored chunk by chunk."""
     cells = np.asarray(cells)
     attributes = [("dual_vertices", np.asarray(dual)), ("intersected", np.asarray(flags)[:, None])]
     if types is not None:
@@ -87,8 +87,14 @@ def write_vxz(path, cells, dual, flags, types=None, ranks=None, chunk_size=4, co
         **(changes or {}),
     }
     text = json.dumps(header).encode()
+    return b"VXZ\0" + (8 + len(text)).to_bytes(4, "big") + text + body, order
+
+
+def write_vxz(path, *arguments, **options):
+    """Write voxels chunk by chunk in file order and return that order as row indices."""
+    content, order = vxz_bytes(*arguments, **options)
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_bytes(b"VXZ\0" + (8 + len(text)).to_bytes(4, "big") + text + body)
+    path.write_bytes(content)
     return order
 
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.voxel_files import sphere, write_vxz
+from checks.voxel_files import sphere, write_vxz
+from voxspark.operators.constraints import validate_voxels
 from voxspark.plans.decode import decode_corpus, outcome_counts
 from voxspark.plans.prepare import prepare, store_table, stored_slice
 from voxspark.sources.vxz import corpus_files, decode, listed_files, read_headers
@@ -77,6 +78,30 @@ def test_bad_headers_are_reported_per_file(spark, tmp_path, changes, message):
     assert {r.model_id for r in decoded.where("error IS NOT NULL").collect()} == {"bad", "junk"}
 
 
+def test_every_listed_file_has_a_status(spark, tmp_path):
+    cells, dual, flags = sphere(12, 4.0)
+    write_vxz(tmp_path / "in/good.vxz", cells, dual, flags, chunk_size=4, compression="deflate")
+    content = (tmp_path / "in/good.vxz").read_bytes()
+    (tmp_path / "in/torn.vxz").write_bytes(content[:-40] + bytes(40))
+    (tmp_path / "in/empty.vxz").write_bytes(b"")
+    write_vxz(tmp_path / "in/hollow.vxz", cells, dual, flags, chunk_size=4, changes={"chunks": []})
+    write_vxz(tmp_path / "in/bare.vxz", np.empty((0, 3), int), np.empty((0, 3), int), np.empty(0, int), changes={"num_voxel": 4})
+    write_vxz(tmp_path / "in/wide.vxz", cells, dual, flags, chunk_size=4, changes={"num_voxel": 1 << 80})
+    (tmp_path / "list.txt").write_text("in/good.vxz\nin/torn.vxz\nin/empty.vxz\nin/hollow.vxz\nin/bare.vxz\nin/wide.vxz\na/x.vxz\nb/x.vxz\nt.txt\n")
+    files = listed_files(spark, str(tmp_path / "list.txt"), str(tmp_path))
+    found = {r.model_id: (r.status, r.reason) for r in decode_corpus(files, str(tmp_path / "out"), skip_existing=True).collect()}
+    assert found.pop("good") == ("decoded", None)
+    assert found["x"] == ("failed", "duplicate stem") and found["t"] == ("failed", "not a .vxz path")
+    assert set(found) == {"torn", "empty", "hollow", "bare", "wide", "x", "t"} and {s for s, _ in found.values()} == {"failed"}
+
+
+def test_model_without_a_voxel_breaks_the_announced_count(spark):
+    voxels = spark.createDataFrame([("a", 0, 0, 0, None, None)], "model_id string, x int, y int, z int, ovoxel_type short, qef_rank short")
+    models = spark.createDataFrame([("a", 4, 1), ("b", None, 4)], "model_id string, resolution int, num_voxel long")
+    broken = validate_voxels(voxels, models).where("violations > 0").collect()
+    assert [(r.model_id, r.rule) for r in broken] == [("b", "voxel_count")]
+
+
 def test_out_of_range_attribute_fails_its_file(spark, tmp_path):
     write_vxz(tmp_path / "m.vxz", CELLS, DUAL, [0] * 4, [0, 1, 2, 4], chunk_size=2)
     errors = decode(corpus_files(spark, str(tmp_path))).where("error IS NOT NULL").collect()
@@ -146,6 +171,7 @@ def test_prepared_store_and_stream(spark, tmp_path):
     files = corpus_files(spark, str(source))
     assert [r.status for r in prepare(files, store, point_budget=100, face_budget=200).collect()] == ["ready"]
     metadata = store_table(spark, store, "metadata").first()
+    assert metadata.source_name == "0012.vxz"
     assert metadata.model_id == "0012" and metadata.resolution_source == "inferred"
     assert metadata.voxel_count == len(cells) and metadata.face_count == 2 * (len(cells) - 2)
     assert metadata.cluster_width == int(np.ceil(np.sqrt(metadata.face_count / 200)))

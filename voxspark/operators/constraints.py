@@ -23,10 +23,10 @@ def duplicate_cells(voxels: DataFrame) -> DataFrame:
 
 
 def validate_voxels(voxels: DataFrame, models: DataFrame) -> DataFrame:
-    """rule, model_id, violations for every rule and model that has voxels.
+    """rule, model_id, violations for every rule and model of either table.
 
-    ``models`` has model_id, resolution and num_voxel (the count the file header announces). Coordinates are first
-    grouped by cell, so both the row rules and the duplicate rule come from one shuffle.
+    ``models`` has model_id, resolution and num_voxel (the count the file header announces); a model without any voxel
+    counts as 0. Coordinates are first grouped by cell, so both the row rules and the duplicate rule come from one shuffle.
     """
 
     def outside(column: str) -> Column:
@@ -35,13 +35,11 @@ def validate_voxels(voxels: DataFrame, models: DataFrame) -> DataFrame:
     cells = voxels.groupBy("model_id", "x", "y", "z").agg(
         F.count("*").alias("n"), outside("ovoxel_type").alias("bad_type"), outside("qef_rank").alias("bad_rank")
     )
-    sized = lookup_join(cells, models.select("model_id", "resolution", "num_voxel"), ["model_id"], "left")
+    sized = lookup_join(cells, models.select("model_id", "resolution"), ["model_id"], "left")
     top = F.greatest("x", "y", "z")
     low = F.least("x", "y", "z")
     counted = sized.groupBy("model_id").agg(
         F.sum("n").alias("rows"),
-        F.max("num_voxel").alias("announced"),
-        F.max("resolution").alias("resolution"),
         F.sum("bad_type").alias("ovoxel_type_range"),
         F.sum("bad_rank").alias("qef_rank_range"),
         F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("duplicate_cell"),
@@ -49,6 +47,8 @@ def validate_voxels(voxels: DataFrame, models: DataFrame) -> DataFrame:
         F.sum(F.when((low < 0) | (top > UINT16_MAX), F.col("n")).otherwise(0)).alias("record_range"),
         F.sum(F.when(top >= F.col("resolution"), F.col("n")).otherwise(0)).alias("beyond_resolution"),
     )
+    stated = models.select("model_id", "resolution", F.col("num_voxel").alias("announced"))
+    counted = counted.join(stated, "model_id", "full").na.fill(0, [c for c in counted.columns if c != "model_id"])
     rules = {
         "voxel_count": F.when(F.col("announced").isNotNull() & (F.col("rows") != F.col("announced")), 1).otherwise(0),
         "ovoxel_type_range": F.col("ovoxel_type_range"),

@@ -12,7 +12,7 @@ from voxspark.operators.ordinals import voxel_ordinals
 from voxspark.operators.summary import resolutions
 from voxspark.operators.topology import quads
 from voxspark.session import settle
-from voxspark.sources.vxz import decode, read_headers
+from voxspark.sources.vxz import decode, headers_of, read_directory
 
 
 @dataclass(frozen=True)
@@ -33,21 +33,33 @@ def _requested(headers: DataFrame, resolution: int | None) -> DataFrame | None:
     return headers.select("model_id", F.lit(resolution).alias("resolution"))
 
 
+def _unlisted(files: DataFrame) -> DataFrame:
+    """(model_id, reason) of entries that cannot be models: those with a problem, and ids that several files claim."""
+    problem = F.min("problem") if "problem" in files.columns else F.lit(None).cast("string")
+    claimed = files.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), problem.alias("problem"))
+    reason = F.coalesce("problem", F.when(F.col("n") > 1, "duplicate model_id"))
+    return claimed.select("model_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def load_corpus(files: DataFrame, resolution: int | None = None) -> Corpus:
     """Decode, number and check every listed file; one bad file does not stop the others.
 
-    ``files`` has model_id and path, and length if known. Decoded voxels and quads are read several times later on, so
-    each is settled once.
+    ``files`` has model_id and path, and length and problem if known. Every model_id of the list is either among the
+    resolutions or among the failures. Decoded voxels and quads are read several times later on, so each is settled once.
     """
-    headers = settle(read_headers(files))
-    decoded = settle(decode(files, headers))
+    unlisted = settle(_unlisted(files))
+    files = files.join(unlisted, "model_id", "left_anti")
+    directory = settle(read_directory(files))
+    headers = headers_of(directory)
+    decoded = settle(decode(files, directory))
     unreadable = decoded.where(F.col("error").isNotNull()).groupBy("model_id").agg(F.min("error").alias("reason"))
     rows = decoded.where(F.col("error").isNull()).drop("error")
     sizes = settle(resolutions(rows, _requested(headers, resolution)))
     announced = headers.select("model_id", "num_voxel").join(sizes, "model_id", "left")
     violations = validate_voxels(rows, announced).where(F.col("violations") > 0)
     broken = violations.groupBy("model_id").agg(F.min("rule").alias("reason"))
-    unusable = settle(unreadable.unionByName(broken).groupBy("model_id").agg(F.min("reason").alias("reason")))
+    failed = unreadable.unionByName(broken).unionByName(unlisted)
+    unusable = settle(failed.groupBy("model_id").agg(F.min("reason").alias("reason")))
 
     voxels = settle(voxel_ordinals(rows.join(unusable, "model_id", "left_anti")))
     surface = settle(quads(voxels, with_dual=True))

@@ -74,9 +74,8 @@ def prepare(
     vertices, faces = settle(vertices), settle(faces)
     summary = model_summary(corpus.voxels, corpus.resolutions)
     widths = grid.select("model_id", "quad_count", "cluster_width", "resolution_source")
-    metadata = model_metadata(summary, widths, vertices, faces, point_budget).withColumn(
-        "source_name", F.concat(F.substring_index("model_id", "/", -1), F.lit(".vxz"))
-    )
+    names = files.select("model_id", F.substring_index("path", "/", -1).alias("source_name"))
+    metadata = model_metadata(summary, widths, vertices, faces, point_budget).join(names, "model_id")
 
     publish(corpus.voxels, store, "voxels", ("chunk_no", "chunk_rank"))
     publish(systematic_sample(corpus.voxels, point_budget), store, "voxel_overview", ("vid",))

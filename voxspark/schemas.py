@@ -49,6 +49,28 @@ VXZ_HEADERS = T.StructType(
     ]
 )
 
+#: The header of a file (chunk_no is NULL) and its chunks with all that reading one takes.
+VXZ_DIRECTORY = T.StructType(
+    [
+        *VXZ_HEADERS.fields,
+        T.StructField("chunk_no", T.IntegerType(), True),
+        T.StructField("origin", T.ArrayType(T.IntegerType()), True),
+        T.StructField(
+            "streams",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("name", T.StringType()),
+                        T.StructField("start", T.LongType()),
+                        T.StructField("length", T.LongType()),
+                    ]
+                )
+            ),
+            True,
+        ),
+    ]
+)
+
 VOLUMES = T.StructType(
     [
         T.StructField("volume_id", T.StringType(), False),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +21,19 @@ from pyspark.sql.datasource import (
     LessThan,
     LessThanOrEqual,
 )
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from voxspark.schemas import VOXELS, VXZ_HEADERS
+from voxspark.schemas import VOXELS, VXZ_DIRECTORY, VXZ_HEADERS
 from voxspark.sources.files import SPLIT_BYTES, FileSplit, open_file, share, size_splits, stem
-from voxspark.sources.vxz_format import read_chunk, read_header
+from voxspark.sources.vxz_format import Chunk, locate, read_chunk, read_header
 
 DECODED = T.StructType(
     [T.StructField(f.name, f.dataType, f.name != "model_id") for f in VOXELS.fields]
     + [T.StructField("error", T.StringType(), True)]
 )
-CHUNKS = "model_id string, path string, chunk_no int, chunk_count int, num_voxel long, error string"
+_DIRECTORY = to_arrow_schema(VXZ_DIRECTORY)
+#: Chunks of a directory that travel in one Arrow batch.
+DIRECTORY_ROWS = 1024
 _ARROW = pa.schema(
     [("model_id", pa.string()), ("chunk_no", pa.int32()), ("chunk_rank", pa.int32())]
     + [(c, pa.int32()) for c in "xyz"]
@@ -80,28 +85,52 @@ def listed_files(spark: SparkSession, list_path: str, root: str) -> DataFrame:
 # --- headers and voxels of listed files ---------------------------------------------------------------
 
 
-def _header_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(VXZ_HEADERS)
+def _file_rows(path: str) -> Iterator[dict]:
+    """The header of a file, then its chunks; faults become an error of the file, or of the chunk."""
+    row: dict = {}
+    try:
+        with open_file(path) as handle:
+            header, size = read_header(handle), handle.size()
+        row = {f: getattr(header, f) for f in VXZ_HEADERS.names if hasattr(header, f)}
+        row["attributes"] = [{"name": n, "channels": c} for n, c in header.attributes]
+        row["chunk_count"] = len(header.chunks)
+        # Numbers that no column holds fail the file here, before they can fail the task.
+        pa.RecordBatch.from_pylist([row], schema=pa.schema([f for f in _DIRECTORY if f.name in row]))
+    except (ValueError, OSError, OverflowError, pa.ArrowException) as error:
+        yield {"error": f"{type(error).__name__}: {error}"}
+        return
+    yield row
+    for chunk_no in range(len(header.chunks)):
+        try:
+            chunk = locate(header, chunk_no, size)
+            streams = [{"name": n, "start": start, "length": length} for n, (start, length) in chunk.streams.items()]
+            yield {**row, "chunk_no": chunk_no, "origin": list(chunk.origin), "streams": streams}
+        except ValueError as error:
+            yield {**row, "chunk_no": chunk_no, "error": str(error)}
+
+
+def _directory_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for row in batch.select(["model_id", "path"]).to_pylist():
-            try:
-                with open_file(row["path"]) as handle:
-                    header = read_header(handle)
-                row.update({f: getattr(header, f) for f in VXZ_HEADERS.names if hasattr(header, f)})
-                row["attributes"] = [{"name": n, "channels": c} for n, c in header.attributes]
-                row["chunk_count"] = len(header.chunks)
-            except (ValueError, OSError, OverflowError) as error:
-                row["error"] = f"{type(error).__name__}: {error}"
-            rows.append(row)
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        for file in batch.select(["model_id", "path"]).to_pylist():
+            for rows in itertools.batched(_file_rows(file["path"]), DIRECTORY_ROWS):
+                yield pa.RecordBatch.from_pylist([{**file, **row} for row in rows], schema=_DIRECTORY)
+
+
+def read_directory(files: DataFrame) -> DataFrame:
+    """Headers and chunk directories of listed files; each header is parsed once, in a task.
+
+    A file's own row has no chunk_no; a file that cannot be read has only that row, with an error.
+    """
+    return files.select("model_id", "path").mapInArrow(_directory_rows, VXZ_DIRECTORY)
+
+
+def headers_of(directory: DataFrame) -> DataFrame:
+    return directory.where(F.col("chunk_no").isNull()).select(*VXZ_HEADERS.names)
 
 
 def read_headers(files: DataFrame) -> DataFrame:
     """Header of every listed file; a file that cannot be read has only an error. Headers are read in tasks."""
-    return files.select("model_id", "path").mapInArrow(_header_rows, VXZ_HEADERS)
+    return headers_of(read_directory(files))
 
 
 def _chunk_batch(model_id: str, chunk_no: int, columns: dict[str, np.ndarray]) -> list[pa.Array]:
@@ -124,8 +153,10 @@ def _decode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             try:
                 if row["error"] is not None:
                     raise ValueError(row["error"])
+                shared = SimpleNamespace(**{**row, "attributes": [(a["name"], a["channels"]) for a in row["attributes"]]})
+                chunk = Chunk(tuple(row["origin"]), {s["name"]: (s["start"], s["length"]) for s in row["streams"]})
                 with open_file(row["path"]) as handle:
-                    columns = read_chunk(handle, handle.size(), read_header(handle), row["chunk_no"])
+                    columns = read_chunk(handle, shared, chunk)
                 arrays = _chunk_batch(row["model_id"], row["chunk_no"], columns)
                 yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(arrays[0]), pa.string())], schema=schema)
             except (ValueError, OSError, RuntimeError, OverflowError) as error:
@@ -133,19 +164,15 @@ def _decode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_pylist([failed], schema=schema)
 
 
-def decode(files: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+def decode(files: DataFrame, directory: DataFrame | None = None) -> DataFrame:
     """Voxels of all listed files, plus one row with an error for every chunk or file that cannot be read.
 
-    Chunks are the unit of work: the chunk list is spread evenly over tasks, however large single files are.
+    Chunks are the unit of work: the chunk list is spread evenly over tasks, however large single files are, and a task
+    goes straight to the bytes of its chunks.
     """
-    headers = read_headers(files) if headers is None else headers
-    chunk_no = F.explode(
-        F.when(F.col("chunk_count") > 0, F.sequence(F.lit(0), F.col("chunk_count") - 1)).otherwise(
-            F.array(F.lit(None).cast("int"))
-        )
-    )
-    problem = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("chunk_count") == 0, "no chunks")
-    chunks = headers.select("model_id", "path", chunk_no.alias("chunk_no"), problem.alias("error"))
+    directory = read_directory(files) if directory is None else directory
+    problem = F.coalesce("error", F.when(F.col("chunk_count") == 0, "no chunks"))
+    chunks = directory.withColumn("error", problem).where(F.col("chunk_no").isNotNull() | F.col("error").isNotNull())
     spark = files.sparkSession
     tasks = spark.sparkContext.defaultParallelism * 4
     if "length" in files.columns:
@@ -201,7 +228,7 @@ class VxzReader(DataSourceReader):
             header = read_header(handle)
             for chunk_no in range(*share(len(header.chunks), split.part, split.parts)):
                 if self._wanted(header, chunk_no):
-                    columns = read_chunk(handle, split.size, header, chunk_no)
+                    columns = read_chunk(handle, header, locate(header, chunk_no, split.size))
                     yield pa.RecordBatch.from_arrays(_chunk_batch(stem(split.name), chunk_no, columns), schema=_ARROW)
 
 

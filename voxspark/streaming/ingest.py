@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from voxspark.constants import MAX_INPUT_BYTES
 from voxspark.functions.text import input_identity
 from voxspark.plans.prepare import prepare
 from voxspark.session import settle
