@@ -283,7 +283,9 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     profiles = shared_profiles(df, doc_id, text, width, percent)
     sets = profiles.where("n > 0").select("doc", "digest")
-    least = sets.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Settled, so that the join below has plain scans on both sides: a digest that many documents have can then be broadcast
+    # or split, while an aggregation inside the join's stage would hold all of them in one task.
+    least = settle(sets.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     copies = settle(sets.join(least, "digest").where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")))
     active = profiles.where("grams IS NOT NULL").join(copies.select(F.col("a").alias("doc")), "doc", "left_anti")
     # The prefix: all but the last ceil(percent * n / 100) - 1 n-grams, of which the n - m that nobody shares come first.
