@@ -159,6 +159,20 @@ def j10(spark, sf):
     return cat.folder_selection(files(spark, sf))
 
 
+@query(
+    "j10_roots_without_volumes",
+    "WITH "
+    + CLASSIFIED
+    + """ SELECT 'r' || CAST(f.ordinal // 3 AS VARCHAR) AS root,
+        CASE WHEN BOOL_OR(k.kind = 'mesh') THEN 'meshes without a loadable volume' ELSE 'no loadable volume' END AS reason
+      FROM files AS f LEFT JOIN classified AS k ON k.ordinal = f.ordinal
+      GROUP BY 1 HAVING NOT COALESCE(BOOL_OR(k.kind = 'volume'), false)""",
+    ("files",),
+)
+def j10_left_out(spark, sf):
+    return cat.roots_without_volumes(files(spark, sf).withColumn("root", F.expr("'r' || cast(ordinal div 3 AS STRING)")))
+
+
 @query(
     "o2_volume_order",
     "WITH " + CLASSIFIED + " SELECT root, dir, ordinal, name, ord FROM classified WHERE kind = 'volume'",
@@ -213,18 +227,6 @@ def f9(spark, sf):
     return c.files_to_fetch(*cached(spark, sf))
 
 
-@query(
-    "a14_fetch_outcome",
-    "WITH " + CACHED + " SELECT COUNT(*) FILTER (status = 'hit') AS succeeded, COUNT(*) FILTER (status <> 'hit') AS failed FROM judged",
-    ("cache",),
-)
-def a14(spark, sf):
-    status = c.cache_status(*cached(spark, sf))
-    return status.agg(
-        F.count_if(F.col("status") == "hit").alias("succeeded"), F.count_if(F.col("status") != "hit").alias("failed")
-    )
-
-
 @query(
     "a8_cache_stats",
     """SELECT COUNT(*) AS file_count, CAST(COALESCE(SUM(byte_length) FILTER (byte_length > 0), 0) AS BIGINT) AS tracked_bytes,

@@ -57,7 +57,8 @@ FROM {lineitem}
 
 PROBES = """
 SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE 'z' END AS axis,
-       CASE event_id % 4 WHEN 0 THEN 'R0' WHEN 1 THEN 'A0' ELSE 'N0' END AS model_id,
+       CASE event_id % 7 % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE 'N' END
+         || CAST(event_id % (SELECT MAX(l_orderkey) // 15000 + 1 FROM {lineitem}) AS VARCHAR(20)) AS model_id,
        CAST(user_id % 16 AS INT) AS idx, CAST(event_id % 32 AS INT) AS px,
        CAST(((event_id - event_id % 32) / 32) % 32 AS INT) AS py
 FROM {events}

@@ -12,6 +12,7 @@ from checks import derived as d
 from checks.registry import query
 from checks.topology import QUADS
 from checks.voxel_files import vxz_bytes
+from voxspark.operators.cache import fetch_counts, fetched
 from voxspark.plans.decode import decode_corpus
 from voxspark.session import checkpoint_dir
 from voxspark.sources import register
@@ -116,3 +117,14 @@ def t1(spark, sf) -> DataFrame:
     source = _written(spark, sf, True)
     ingest(spark, source, source + "-store", source + "-checkpoint").awaitTermination()
     return spark.read.parquet(source + "-store/jobs").groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(
+    "a14_fetch_outcome",
+    """SELECT COUNT(*) AS succeeded, COUNT(*) AS failed FROM (SELECT DISTINCT model_id FROM voxels) AS m""",
+    ("voxels",),
+)
+def a14(spark, sf) -> DataFrame:
+    present = corpus_files(spark, _written(spark, sf, False)).select("path", "length")
+    missing = present.withColumn("path", F.concat("path", F.lit(".missing")))
+    return fetch_counts(fetched(present.unionByName(missing)))

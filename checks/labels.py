@@ -370,7 +370,7 @@ def j7(spark, sf):
 @query(
     "j6_inspect_cells",
     """WITH asked AS (
-         SELECT event_id, 'O0' AS volume_id, axis, CAST(idx % 8 AS INT) AS idx, CAST(px % 8 AS INT) AS px,
+         SELECT event_id, CASE WHEN idx < 8 THEN 'O' ELSE 'F' END || SUBSTRING(model_id, 2) AS volume_id, axis, CAST(idx % 8 AS INT) AS idx, CAST(px % 8 AS INT) AS px,
                 CAST(py % 8 AS INT) AS py FROM probes),
        located AS (
          SELECT *, CASE axis WHEN 'x' THEN idx ELSE px END AS i, CASE axis WHEN 'y' THEN idx ELSE 7 - py END AS j,
@@ -387,7 +387,7 @@ def j7(spark, sf):
 def j6(spark, sf):
     cells = d.cells(spark, sf).withColumn("value", F.col("label").cast("double"))
     probes = d.spark_sql(spark, sf, d.PROBES).select(
-        "event_id", F.lit("O0").alias("volume_id"), "axis", *[(F.col(c) % 8).cast("int").alias(c) for c in ("idx", "px", "py")]
+        "event_id", F.expr("CASE WHEN idx < 8 THEN 'O' ELSE 'F' END || substring(model_id, 2)").alias("volume_id"), "axis", *[(F.col(c) % 8).cast("int").alias(c) for c in ("idx", "px", "py")]
     )
     report = vol.inspect(probes, cells, volumes(cells, "linfinityDistanceCases"), case_rows(spark, sf))
     return report.select(

@@ -17,7 +17,7 @@ from voxspark.plans.prepare import publish, store_table
 from voxspark.session import checkpoint_dir, settle
 from voxspark.sinks.ply import write_ply
 from voxspark.sources import register
-from voxspark.streaming.progress import follow_progress
+from voxspark.streaming.progress import follow_progress, progress_of
 
 R = d.RESOLUTION
 
@@ -98,6 +98,6 @@ def t2(spark, sf):
     schema = d.spark_table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     lines = spark.sql(CTES["progress_lines"], events=events)
-    name = f"progress_{uuid.uuid4().hex}"
-    follow_progress(lines, name, _folder(spark), available_now=True).awaitTermination()
-    return spark.table(name)
+    saved = _folder(spark)
+    follow_progress(lines, saved, _folder(spark), available_now=True).awaitTermination()
+    return progress_of(spark, saved)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxspark.functions import geometry as g
 from voxspark.functions import labels
 from voxspark.functions.text import bytes_text, folder_label, parse_resolution, safe_file_name
-from voxspark.operators import lod, slices, summary, topology
+from voxspark.operators import lod, meshes, slices, summary, topology
 from voxspark.operators.lookup import lookup_join
 from voxspark.operators.ordinals import dense_ordinals
 
@@ -180,6 +180,19 @@ def test_flag_bits_beyond_the_edges_do_not_change_quads(spark):
     assert ends[0] and ends[0] == ends[1] == ends[2]
 
 
+def test_coordinates_without_a_key_are_an_error(spark):
+    for x in (-1, 1 << 21):
+        voxels = spark.createDataFrame([("m", 0, x, 64, 64, 1, 128, 128, 128)], "model_id string, vid long, x int, y int, z int, flags int, dx int, dy int, dz int")
+        with pytest.raises(Exception, match="21-bit key"):
+            topology.quads(voxels).collect()
+
+
+def test_faces_with_an_unknown_corner_are_named(spark):
+    faces = spark.createDataFrame([("m", 0, 0, 1, 2), ("m", 1, 0, 1, 9)], "mesh_id string, face_id long, a long, b long, c long")
+    vertices = spark.createDataFrame([("m", n, 0.0, 0.0, float(n)) for n in range(3)], "mesh_id string, vertex_id long, x float, y float, z float")
+    assert {r.face_id: r.clip for r in meshes.classify_faces(faces, vertices, "z", 1.0).collect()} == {0: "cut", 1: "unknown"}
+
+
 def test_raster_has_every_pixel_and_the_last_voxel_wins(spark):
     voxels = voxel_frame(spark, [(2, 0, 3), (2, 0, 3), (2, 4, 0)], [(1, 1, 1), (9, 9, 9), (5, 5, 5)], [0, 0, 0])
     voxels = voxels.withColumns({"ovoxel_type": F.lit(None).cast("int"), "qef_rank": F.lit(None).cast("int")})

@@ -245,3 +245,10 @@ def test_text_meshes(spark, tmp_path):
         ("b.ply", 0, 2, 3),
         ("c.stl", 0, 1, 2),
     ]
+
+
+def test_ply_with_a_long_header(spark, tmp_path):
+    lines = ["ply", "format ascii 1.0", *["comment " + "x" * 90] * 2000, "element vertex 1"]
+    lines += [f"property float {c}" for c in "xyz"] + ["end_header", "1 2 3"]
+    (tmp_path / "long.ply").write_text("\n".join(lines) + "\n")
+    assert [(r.x, r.y, r.z) for r in spark.read.format("mesh").load(str(tmp_path)).collect()] == [(1.0, 2.0, 3.0)]

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxspark.functions.text import input_identity
+from voxspark.sources.files import open_file
+
+READ_BYTES = 8 * 1024 * 1024
+_FETCHED = pa.schema([("path", pa.string()), ("length", pa.int64()), ("bytes", pa.int64()), ("reason", pa.string())])
 
 
 def is_stale(size, cached_size, mtime, cached_mtime) -> Column:
@@ -36,6 +43,35 @@ def files_to_fetch(listing: DataFrame, cache: DataFrame) -> DataFrame:
     return cache_status(listing, cache).where(F.col("status") != "hit").drop("status")
 
 
+def _read_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            try:
+                with open_file(row["path"]) as handle:
+                    row["bytes"] = sum(len(block) for block in iter(lambda: handle.read(READ_BYTES), b""))
+                if row["length"] is not None and row["bytes"] != row["length"]:
+                    row["reason"] = f"{row['bytes']} bytes instead of {row['length']}"
+            except OSError as error:
+                row["reason"] = f"{type(error).__name__}: {error}"
+            rows.append(row)
+        yield pa.RecordBatch.from_pylist(rows, schema=_FETCHED)
+
+
+def fetched(files: DataFrame) -> DataFrame:
+    """path, length, bytes and reason (NULL if all went well) of every file after reading it whole, block by block in tasks.
+
+    ``files`` has path and length; a file whose size is not the listed one has failed.
+    """
+    tasks = files.sparkSession.sparkContext.defaultParallelism * 4
+    return files.select("path", "length").repartition(tasks, "path").mapInArrow(_read_through, "path string, length long, bytes long, reason string")
+
+
+def fetch_counts(outcomes: DataFrame) -> DataFrame:
+    """Files that were read and files that failed, in one row."""
+    return outcomes.agg(F.count_if(F.col("reason").isNull()).alias("succeeded"), F.count_if(F.col("reason").isNotNull()).alias("failed"))
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     """File count, tracked bytes (positive sizes only) and oldest save time."""
     return cache.agg(

@@ -88,11 +88,22 @@ def selected_directories(candidate_table: DataFrame, directories: DataFrame) ->
     return fallback.join(best, "root", "left").select("root", F.coalesce("__candidate", "__fallback").alias("dir"))
 
 
+def roots_without_volumes(files: DataFrame) -> DataFrame:
+    """(root, reason) of every root that ``folder_selection`` leaves out: mesh-only ones, and those with neither."""
+    kinds = classified_files(files).groupBy("root").agg(
+        F.count_if(F.col("kind") == "volume").alias("volumes"), F.count_if(F.col("kind") == "mesh").alias("meshes")
+    )
+    known = files.select("root").distinct().join(kinds, "root", "left").where(F.coalesce("volumes", F.lit(0)) == 0)
+    reason = F.when(F.col("meshes") > 0, "meshes without a loadable volume").otherwise("no loadable volume")
+    return known.select("root", reason.alias("reason"))
+
+
 def folder_selection(files: DataFrame) -> DataFrame:
     """Files to load per root: root, dir, kind, ord, name.
 
     ``files`` has root, dir, ordinal (position in the listing), name and type. Sort volumes and meshes by ord and
-    then by name in Unicode collation. Only the last manifest of a folder counts.
+    then by name in Unicode collation. Only the last manifest of a folder counts. Roots that have no loadable volume
+    are told by ``roots_without_volumes``.
     """
     classified = settle(classified_files(files))
     directories = settle(directory_scores(classified))

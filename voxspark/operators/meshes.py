@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,18 +73,21 @@ def normalize_to_bounds(vertices: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+def _corners(faces: DataFrame, vertices: DataFrame, how: str = "inner") -> DataFrame:
     placed = faces
     for corner in "abc":
         corner_vertex = vertices.select(
             "mesh_id", F.col("vertex_id").alias(corner), F.struct(*[F.col(c).cast("double").alias(c) for c in "xyz"]).alias(f"p{corner}")
         )
-        placed = placed.join(corner_vertex, ["mesh_id", corner])
+        placed = placed.join(corner_vertex, ["mesh_id", corner], how)
     return placed
 
 
 def vertex_normal_sums(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Sum of the area-weighted face normals around every vertex that a face uses."""
+    """Sum of the area-weighted face normals around every vertex that a face uses.
+
+    A face with a corner that is no vertex has no normal and adds nothing; ``classify_faces`` names such faces.
+    """
 
     def edge(to: str, c: str) -> Column:
         return F.col(f"p{to}")[c] - F.col("pb")[c]
@@ -120,9 +126,10 @@ def clip_points(points: DataFrame, axis: str, position: float) -> DataFrame:
 
 
 def classify_faces(faces: DataFrame, vertices: DataFrame, axis: str, position: float) -> DataFrame:
-    """Adds ``clip``: kept (all corners at or below the plane), dropped (all above) or cut."""
+    """Adds ``clip``: kept (all corners at or below the plane), dropped (all above), cut, or unknown (a corner is no vertex)."""
     values = [F.col(f"p{corner}")[check_axis(axis)] for corner in "abc"]
+    unknown = functools.reduce(operator.or_, [F.col(f"p{corner}").isNull() for corner in "abc"])
     clip = (
-        F.when(F.greatest(*values) <= position, "kept").when(F.least(*values) > position, "dropped").otherwise("cut")
+        F.when(unknown, "unknown").when(F.greatest(*values) <= position, "kept").when(F.least(*values) > position, "dropped").otherwise("cut")
     )
-    return _corners(faces, vertices).select("mesh_id", "face_id", "a", "b", "c", clip.alias("clip"))
+    return _corners(faces, vertices, "left").select("mesh_id", "face_id", "a", "b", "c", clip.alias("clip"))

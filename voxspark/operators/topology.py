@@ -59,16 +59,17 @@ def _placed(voxels: DataFrame, carry: list[str]) -> DataFrame:
     ]
     edge = (1 << BLOCK_BITS) - 1
     interior = x.bitwiseAND(edge) * y.bitwiseAND(edge) * z.bitwiseAND(edge) != 0
-    blocks = F.when(interior, F.array(_block_of(x, y, z))).otherwise(F.array_distinct(F.array(*homes)))
+    blocks = F.when(interior | ~fits_key("x", "y", "z"), F.array(_block_of(x, y, z))).otherwise(F.array_distinct(F.array(*homes)))
     carried = [pack_dual("dx", "dy", "dz").alias("dual")] if carry else []
     tag = F.shiftleft(F.col("vid").cast("long"), FLAG_BITS).bitwiseOR(F.col("flags").cast("long").bitwiseAND((1 << FLAG_BITS) - 1))
+    cell = F.when(fits_key("x", "y", "z"), _join_cells(x, y, z))
+    outside = F.raise_error(F.concat(F.lit("coordinates without a 21-bit key in model "), "model_id")).cast("long")
     return (
-        voxels.where(fits_key("x", "y", "z"))
-        .select(
+        voxels.select(
             "model_id",
             F.explode(blocks).alias("block"),
             # Never NULL here; saying so keeps a NOT NULL filter on the join key from making the exchanges differ.
-            F.coalesce(_join_cells(x, y, z), F.lit(-1).cast("long")).alias("cell"),
+            F.coalesce(cell, outside, F.lit(-1).cast("long")).alias("cell"),
             tag.alias("tag"),
             *carried,
         )
@@ -78,7 +79,7 @@ def _placed(voxels: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def quads(voxels: DataFrame, with_dual: bool = False) -> DataFrame:
-    """All quads whose four voxels exist, one row each, corners in winding order.
+    """All quads whose four voxels exist, one row each, corners in winding order. Coordinates outside 21 bits are an error.
 
     Columns: model_id, vid (of the edge's voxel), axis, positive, voxel ids v0..v3, packed cells cell0..cell3 and, on
     request, packed dual offsets dual0..dual3. A positive sign swaps corners 1 and 3.

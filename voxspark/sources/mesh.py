@@ -46,8 +46,12 @@ class Ply:
     """Binary files with three corners per face are read in equal shares; others in one pass."""
 
     def __init__(self, handle, size: int):
-        head = read_range(handle, 0, min(size, 1 << 16))
-        end = re.search(rb"end_header\r?\n", head)
+        head, end = read_range(handle, 0, 1 << 16), None
+        while head.startswith(b"ply") and (end := re.search(rb"end_header\r?\n", head)) is None:
+            more = handle.read(len(head))  # doubles, so that a long header is searched a few times only
+            if not more:
+                break
+            head += more
         if not head.startswith(b"ply") or end is None:
             raise ValueError("not a PLY file")
         self.handle, self.size, self.start = handle, size, end.end()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,13 +38,22 @@ def latest_progress(lines: DataFrame) -> DataFrame:
     )
 
 
-def follow_progress(lines: DataFrame, name: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Keep the latest state of every job in an in-memory table; state grows with jobs, not with lines."""
-    writer = (
-        latest_progress(lines)
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", checkpoint)
-    )
+def follow_progress(lines: DataFrame, folder: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Keep the latest state of every job in Parquet files below ``folder``; ``progress_of`` reads it.
+
+    Update mode: a batch writes only the jobs that it changed, to a folder of its own that a repeated batch replaces.
+    State grows with jobs, not with lines, and nothing is gathered on the driver.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    writer = latest_progress(lines).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def progress_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The last saved state of every job."""
+    saved = spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
+    last = saved.groupBy("job").agg(F.max_by(F.struct("stage", "progress", "message"), "batch").alias("last"))
+    return last.select("job", "last.*")
