@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxspark.constants import COORD_BITS, COORD_MASK
+from voxspark.session import settle
 
 
 def _digit(key: Column, place: int) -> Column:
@@ -19,30 +20,30 @@ def _digit(key: Column, place: int) -> Column:
 
 
 def dense_ordinals(keys: DataFrame, key: str, ordinal: str, group: Sequence[str] = ("model_id",)) -> DataFrame:
-    """Add the 0-based rank of a unique non-negative key within each group."""
+    """Add the 0-based rank of a unique non-negative key within each group.
+
+    Rows are ranked inside their (group, high, middle digits) first and settled, so that the input runs once; the highest
+    ranks are the sizes of the blocks, whose offsets are joined to the settled rows.
+    """
     group = list(group)
+    block = [*group, "__hi", "__mid"]
+    local = Window.partitionBy(*block).orderBy(key)
     numbered = keys.withColumn("__hi", _digit(F.col(key), 2)).withColumn("__mid", _digit(F.col(key), 1))
+    ranked = settle(numbered.withColumn("__rank", F.row_number().over(local)))
 
-    rows = numbered.groupBy(*group, "__hi", "__mid").agg(F.count("*").alias("__n"))
-    blocks = rows.groupBy(*group, "__hi").agg(F.sum("__n").alias("__n"))
+    rows = ranked.groupBy(*block).agg(F.max("__rank").cast("long").alias("__n"))
     before = (Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        *group,
-        "__hi",
-        F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__hi").rowsBetween(*before)), F.lit(0)).alias(
-            "__block_start"
-        ),
-    )
+    outer = Window.partitionBy(*group).orderBy("__hi").rowsBetween(*before)
+    blocks = rows.groupBy(*group, "__hi").agg(F.sum("__n").alias("__n"))
+    blocks = blocks.select(*group, "__hi", F.coalesce(F.sum("__n").over(outer), F.lit(0)).alias("__block_start"))
     inside = Window.partitionBy(*group, "__hi").orderBy("__mid").rowsBetween(*before)
     starts = (
         rows.withColumn("__row_start", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
         .join(blocks, [*group, "__hi"])
-        .select(*group, "__hi", "__mid", (F.col("__block_start") + F.col("__row_start")).alias("__start"))
+        .select(*block, (F.col("__block_start") + F.col("__row_start")).alias("__start"))
     )
-    local = Window.partitionBy(*group, "__hi", "__mid").orderBy(key)
     return (
-        numbered.withColumn("__rank", F.row_number().over(local))
-        .join(starts, [*group, "__hi", "__mid"])
+        ranked.join(starts, block)
         .withColumn(ordinal, (F.col("__start") + F.col("__rank") - 1).cast("long"))
         .drop("__hi", "__mid", "__rank", "__start")
     )
