@@ -19,6 +19,8 @@ from voxspark.session import settle
 BLOCK_DOCUMENTS = 1024
 MAX_SOURCES = 100_000
 STEPS = 50
+#: Blocks of a source are searched in 2^(60 - RANGE_SHIFT) ranges of their 60-bit draws.
+RANGE_SHIFT = 50
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -103,12 +105,15 @@ def with_mixture(df: DataFrame, target_entropy: float, max_passes: float, budget
     keyed = narrow.join(F.broadcast(plans.where("rest > 0")), F.col("source").eqNullSafe(F.col("p_source"))).withColumn(
         "block", _block_key(F.col("passes"), F.col("source"), F.col("id"))
     )
-    # The block in which the budget ends is the first with which the running sum exceeds it.
-    sums = keyed.groupBy("p_source", "rest", "block").agg(F.sum("tokens").alias("tokens"))
-    summed = sums.withColumn("upto", F.sum("tokens").over(Window.partitionBy("p_source").orderBy("block")))
-    last = summed.where("upto > rest AND upto - tokens <= rest").groupBy("p_source").agg(
-        F.min(F.struct("block", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("room"))).alias("last")
+    # The block in which the budget ends is the first with which the running sum exceeds it. It is looked for in ranges of
+    # blocks first, then in one of them, so that no window holds all blocks of a source.
+    sums = settle(keyed.groupBy("p_source", "rest", "block").agg(F.sum("tokens").alias("tokens")))
+    ranges = sums.groupBy("p_source", "rest", F.shiftright("block", RANGE_SHIFT).alias("range")).agg(F.sum("tokens").alias("tokens"))
+    ended = _ending(ranges, "range").select(F.col("p_source").alias("r_source"), F.col("range").alias("r_range"), "before")
+    near = sums.join(
+        F.broadcast(ended), F.col("p_source").eqNullSafe(F.col("r_source")) & (F.shiftright("block", RANGE_SHIFT) == F.col("r_range"))
     )
+    last = _ending(near, "block", F.col("before")).select("p_source", F.struct("block", (F.col("rest") - F.col("before")).alias("room")).alias("last"))
     ends = {row["p_source"]: (row["last"]["block"], row["last"]["room"]) for row in last.collect()}
     rooms = spark.createDataFrame([(k, *v) for k, v in ends.items()], "l_source string, last_block long, room long")
     inside = keyed.join(F.broadcast(rooms), F.col("source").eqNullSafe(F.col("l_source")) & (F.col("block") == F.col("last_block")))
@@ -126,6 +131,14 @@ def with_mixture(df: DataFrame, target_entropy: float, max_passes: float, budget
     return mixed.select(*clean.columns, "mix_pass", "mix_block", "mix_key"), mixture
 
 
+def _ending(sums: DataFrame, order: str, start: Column | None = None) -> DataFrame:
+    """Per source, the row with which the running sum from ``start`` exceeds ``rest``, and the sum ``before`` it."""
+    upto = F.sum("tokens").over(Window.partitionBy("p_source").orderBy(order)) + (F.lit(0) if start is None else start)
+    found = sums.withColumn("_upto", upto).withColumn("before", F.col("_upto") - F.col("tokens"))
+    least = found.where("_upto > rest AND before <= rest").groupBy("p_source").agg(F.min(F.struct(order, "rest", "before")).alias("_least"))
+    return least.select("p_source", "_least.*")
+
+
 def _block_key(number: Column, source: Column, doc_id: Column) -> Column:
     """Where the block of a document comes in a pass; ``blocks`` is the source's number of blocks."""
     return _draw(F.lit("block"), number, source, F.pmod(_draw(doc_id), F.col("blocks")))
