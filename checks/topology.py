@@ -399,8 +399,9 @@ def a1(spark, sf):
     v, surface, grid = _grid(spark, sf)
     summary = model_summary(v, grid)
     widths = grid.select("model_id", "quad_count", "cluster_width")
-    vertices, faces = lod.lod_mesh(v, grid, surface)
-    metadata = model_metadata(summary, widths, vertices, faces, point_budget=1000)
+    # The counts need neither positions nor new ids: one vertex per used cluster, one face per coarse face.
+    faces = settle(lod.lod_faces(surface, grid))
+    metadata = model_metadata(summary, widths, lod.used_vertices(faces), faces, point_budget=1000)
     return metadata.select(
         "model_id",
         "voxel_count",

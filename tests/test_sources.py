@@ -252,3 +252,11 @@ def test_ply_with_a_long_header(spark, tmp_path):
     lines += [f"property float {c}" for c in "xyz"] + ["end_header", "1 2 3"]
     (tmp_path / "long.ply").write_text("\n".join(lines) + "\n")
     assert [(r.x, r.y, r.z) for r in spark.read.format("mesh").load(str(tmp_path)).collect()] == [(1.0, 2.0, 3.0)]
+
+
+def test_mesh_files_that_cannot_be_read_are_told(spark, tmp_path):
+    (tmp_path / "a.obj").write_text("v 0 0 0\n")
+    (tmp_path / "b.ply").write_text("no mesh")
+    (tmp_path / "c.glb").write_bytes(b"glTF")
+    errors = {r.mesh_id: r.error for r in spark.read.format("mesh").option("content", "files").load(str(tmp_path)).collect()}
+    assert errors["a.obj"] is None and "not a PLY file" in errors["b.ply"] and "unsupported" in errors["c.glb"]

@@ -114,3 +114,11 @@ MESH_FACES = T.StructType(
         T.StructField("c", T.LongType(), False),
     ]
 )
+
+MESHES = T.StructType(
+    [
+        T.StructField("mesh_id", T.StringType(), False),
+        T.StructField("size", T.LongType(), False),
+        T.StructField("error", T.StringType(), True),
+    ]
+)

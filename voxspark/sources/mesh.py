@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from voxspark.schemas import MESH_FACES, MESH_VERTICES
+from voxspark.schemas import MESH_FACES, MESH_VERTICES, MESHES
 from voxspark.sources.files import SPLIT_BYTES, FileSplit, open_file, read_range, share, size_splits, stem
 
 BATCH_ROWS = 1 << 18
@@ -26,6 +27,7 @@ PLY_TYPES = {
     **dict.fromkeys(("double", "float64"), "f8"),
 }
 STL_FACET = np.dtype([("normal", "<f4", 3), ("points", "<f4", (3, 3)), ("extra", "<u2")])
+_MESHES = to_arrow_schema(MESHES)
 Rows = Iterator[tuple[int, np.ndarray]]
 
 
@@ -225,6 +227,9 @@ class Stl:
             yield first // 3, np.arange(first, first + len(points), dtype=np.int64).reshape(-1, 3)
 
 
+PARSERS = {"ply": Ply, "obj": Obj, "stl": Stl}
+
+
 class MeshReader(DataSourceReader):
     def __init__(self, options, schema: T.StructType):
         self.path, self.content = options["path"], options.get("content", "vertices")
@@ -234,10 +239,8 @@ class MeshReader(DataSourceReader):
         return size_splits(self.path, SUFFIXES, self.split_bytes)
 
     def read(self, split: FileSplit):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         schema = to_arrow_schema(MESH_FACES if self.content == "faces" else MESH_VERTICES)
-        parser = {"ply": Ply, "obj": Obj, "stl": Stl}[split.name.rsplit(".", 1)[1].lower()]
+        parser = PARSERS[split.name.rsplit(".", 1)[1].lower()]
         with open_file(split.path) as handle:
             rows = getattr(parser(handle, split.size), self.content)(split.part, split.parts)
             for first, block in rows:
@@ -248,15 +251,34 @@ class MeshReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+class MeshFiles(MeshReader):
+    """One record per file of any name: its size, and the reason if it is no mesh that can be read."""
+
+    def partitions(self):
+        return [s for s in size_splits(self.path, ("",), self.split_bytes) if s.part == 0]
+
+    def read(self, split: FileSplit):
+        row = {"mesh_id": split.name, "size": split.size}
+        suffix = split.name.rsplit(".", 1)[-1].lower()
+        try:
+            if suffix not in PARSERS:
+                raise ValueError(f"unsupported mesh format {suffix!r}")
+            with open_file(split.path) as handle:
+                PARSERS[suffix](handle, split.size)
+        except (ValueError, KeyError, IndexError, OSError) as error:
+            row["error"] = f"{type(error).__name__}: {error}"
+        yield pa.RecordBatch.from_pylist([row], schema=_MESHES)
+
+
 class MeshDataSource(DataSource):
-    """Vertices of mesh files below a folder, or with option content=faces their triangles."""
+    """Vertices of mesh files below a folder, with option content=faces their triangles, with content=files the files."""
 
     @classmethod
     def name(cls) -> str:
         return "mesh"
 
     def schema(self) -> T.StructType:
-        return MESH_FACES if self.options.get("content") == "faces" else MESH_VERTICES
+        return {"faces": MESH_FACES, "files": MESHES}.get(self.options.get("content"), MESH_VERTICES)
 
     def reader(self, schema: T.StructType) -> MeshReader:
-        return MeshReader(self.options, schema)
+        return (MeshFiles if self.options.get("content") == "files" else MeshReader)(self.options, schema)
