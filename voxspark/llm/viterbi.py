@@ -28,11 +28,12 @@ _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 @dataclass(frozen=True)
 class Pieces:
-    """The vocabulary: score and id of each piece, beginnings of pieces, bytes of each id, ids of single bytes."""
+    """The vocabulary: score and id of each piece, beginnings of pieces with their scores if they are pieces themselves, bytes
+    of each id, ids of single bytes."""
 
     scores: dict[str, float]
     ids: dict[str, int]
-    beginnings: frozenset[str]
+    beginnings: dict[str, float | None]
     octets: list[bytes]
     byte_ids: list[int]
     unknown: float
@@ -53,7 +54,7 @@ def load_pieces(model_path: str) -> Pieces:
         elif not (model.is_control(number) or model.is_unknown(number) or model.is_unused(number)):
             scores[piece], ids[piece] = model.get_score(number), number
             octets[number] = piece.replace(SPACE, " ").encode()
-    beginnings = frozenset(piece[:n] for piece in scores for n in range(1, len(piece) + 1))
+    beginnings = {piece[:n]: scores.get(piece[:n]) for piece in scores for n in range(1, len(piece) + 1)}
     separable = not any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in scores)
     return Pieces(scores, ids, beginnings, octets, byte_ids, min(scores.values()) - UNKNOWN_PENALTY, separable)
 
@@ -70,7 +71,7 @@ class Stream:
 
     def push(self, text: str) -> list[int]:
         found: list[int] = []
-        scores, beginnings, unknown = self.pieces.scores.get, self.pieces.beginnings, self.pieces.unknown
+        beginnings, unknown = self.pieces.beginnings, self.pieces.unknown
         window, best, back, active = self.window, self.best, self.back, self.active
         for character in text:
             window += character
@@ -78,13 +79,17 @@ class Stream:
             highest, origin, still = None, 0, []
             for start in active:
                 content = window[start:]
-                value = scores(content)
-                if value is None and start == end - 1:
-                    value = unknown
-                if value is not None and (highest is None or best[start] + value > highest):
-                    highest, origin = best[start] + value, start
+                value = None
                 if content in beginnings:
+                    value = beginnings[content]
                     still.append(start)
+                if value is None:
+                    if start != end - 1:
+                        continue
+                    value = unknown
+                total = best[start] + value
+                if highest is None or total > highest:
+                    highest, origin = total, start
             best.append(highest)
             back.append(origin)
             if still:
