@@ -17,7 +17,7 @@ from voxspark.llm.lattice import near_vectors, nearest, neighbours
 from voxspark.llm.mixing import entropy, temperature, with_mixture
 from voxspark.llm.nb_language import fit_language, predict_language
 from voxspark.llm.ngram_join import ngram_components
-from voxspark.llm.quality import fit_quality, score_quality
+from voxspark.llm.quality import difference, fit_quality, score_quality
 from voxspark.llm.sharding import assign_shards
 from voxspark.llm.toxicity import fit_toxicity, score_toxicity
 from voxspark.llm.viterbi import SPACE, Encoder, Stream, decode, encode_texts, load_pieces
@@ -287,3 +287,35 @@ def test_models_score_every_row_and_tell_classes_apart(spark):
     assert {r.score for r in score_toxicity(docs, fit_toxicity(docs, empty, F.lit(True))).collect()} == {0.5}
     nothing = fit_language(docs.limit(0))
     assert {r.lang_pred for r in predict_language(docs, nothing).collect()} == {"und"}
+
+
+def sentences(seed, size, good):
+    """At least ``size`` characters of invented sentences over a small vocabulary; bad ones are lists with marks."""
+    draw, words = random.Random(seed), prose(1, 300).split()
+    parts, total = [], 0
+    while total < size:
+        line = draw.choices(words, k=12)
+        parts.append(" ".join(line).capitalize() + ".\n" if good else "".join(f"{w}$$$ " if draw.random() < 0.5 else f"{w} | " for w in line))
+        total += len(parts[-1])
+    return "".join(parts)
+
+
+def test_quality_evidence_comes_from_the_whole_text(spark):
+    rows = [(i, sentences(i, random.Random(i).randint(300, 4000), i % 4 > 0), int(i % 4 > 0)) for i in range(400)]
+    sizes = (500, 2_000, 10_000, 100_000, 1_000_000)
+    rows += [(1000 + n, sentences(1000 + n, size, n % 2 > 0), None) for n, size in enumerate(s for s in sizes for _ in range(2))]
+    good, bad = sentences(2000, 20_000, True), sentences(2001, 180_000, False)
+    rows += [(2000, good + bad, None), (2001, bad + good, None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, q) for i, _, q in rows if q is not None], "doc_id long, quality int")
+    model = fit_quality(docs, marks, F.col("doc_id") % 5 != 0)
+    score = {r.doc_id: r.score for r in score_quality(docs, model).collect()}
+    texts = {i: text for i, text, _ in rows}
+    for n in range(2 * len(sizes)):
+        assert (score[1000 + n] >= 0.7) == (n % 2 > 0), (n, score[1000 + n])
+        assert abs(score[1000 + n] - n % 2) < 0.1
+    assert score[2000] < 0.3 and score[2001] < 0.3
+    for kind in (0, 1):
+        short, long = (np.mean([difference(model.good, model.bad, texts[i]) for i in ids]) for ids in ([1002 + kind], [1008 + kind]))
+        assert long == pytest.approx(short, rel=0.25)
+    assert np.mean([(score[i] >= 0.7) == (q > 0) for i, _, q in rows[:400] if i % 5 == 0]) > 0.95

@@ -1,13 +1,15 @@
 """Quality by compression: how much better a dictionary of good text packs a document than a dictionary of bad text.
 
-Two zstandard dictionaries are built from bounded samples of labelled documents. The difference of the two compressed
-sizes, divided by the size of the text, becomes a score by a logistic curve fitted on documents the dictionaries
-have not seen.
+Two zstandard dictionaries are built from bounded samples of labelled documents. The whole text is cut into blocks, each
+compressed afresh with both, so that no part of a long text is packed by what came before it instead of by a dictionary.
+The difference of the two sizes, summed over all blocks and divided by the size of the text, becomes a score by a logistic
+curve fitted on the same sums of documents the dictionaries have not seen.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +21,12 @@ from pyspark.sql import functions as F
 from voxspark.llm.common import add_columns
 from voxspark.llm.labelled import chance, labelled_sample, logistic
 
-#: Documented parameters: labelled documents per class, the longest text used for fitting, dictionary size, compression level.
+#: Documented parameters: labelled documents per class, the longest text used for fitting, dictionary size, compression level, largest block.
 TRAIN_DOCUMENTS = 2000
 TRAIN_BYTES = 32 << 10
 DICTIONARY_BYTES = 96 << 10
 LEVEL = 3
+BLOCK_BYTES = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -36,19 +39,27 @@ class QualityModel:
 
 @functools.lru_cache(maxsize=8)
 def _packer(dictionary: bytes) -> zstandard.ZstdCompressor:
+    bare = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}  # frames differ by content only
     if not dictionary:
-        return zstandard.ZstdCompressor(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, **bare)
     data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_AUTO)
     data.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=False, write_content_size=False)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, **bare)
 
 
 def difference(good: bytes, bad: bytes, text: str | None) -> float:
-    """(size with the bad dictionary - size with the good one) / size of the text; 0 for empty and null texts."""
+    """(size with the bad dictionary - size with the good one) / size of the text, the sizes summed over all blocks of the
+    whole text, which are equally long up to a byte; 0 for empty and null texts."""
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:
         return 0.0
-    return (len(_packer(bad).compress(data)) - len(_packer(good).compress(data))) / len(data)
+    count = -(-len(data) // BLOCK_BYTES)
+    cuts = [len(data) * i // count for i in range(count + 1)]
+    better, worse, total = _packer(good), _packer(bad), 0
+    for start, stop in itertools.pairwise(cuts):
+        block = data[start:stop]
+        total += len(worse.compress(block)) - len(better.compress(block))
+    return total / len(data)
 
 
 def _dictionary(texts: list[str]) -> bytes:
