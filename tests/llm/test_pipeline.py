@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from tests.llm.test_operators import prose
+from tests.llm.test_operators import prose, sentences
 
 
 def test_stages_keep_clean_documents_and_one_of_each_group(spark, tmp_path):
@@ -32,3 +32,13 @@ def test_stages_keep_clean_documents_and_one_of_each_group(spark, tmp_path):
     assert kept["quality"] - kept["near_duplicates"] == {500, 501}
     assert kept["pieces"] == kept["mixture"] <= kept["near_duplicates"]
     assert all(r.same for r in docs.collect())
+
+
+def test_quality_stage_judges_long_documents_by_their_content(spark, tmp_path):
+    rows = [(i, sentences(i, 300 + 37 * (i % 100), i % 4 > 0), "en", "s", 1) for i in range(400)]
+    labels = [(i, int(i % 4 > 0), 0) for i in range(400)]
+    rows += [(1000 + n, sentences(1000 + n, 10 ** (4 + n // 2), n % 2 > 0), "en", "s", 1) for n in range(6)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert {i for i in kept if i >= 1000} == {1001, 1003, 1005}
