@@ -319,3 +319,43 @@ def test_quality_evidence_comes_from_the_whole_text(spark):
         short, long = (np.mean([difference(model.good, model.bad, texts[i]) for i in ids]) for ids in ([1002 + kind], [1008 + kind]))
         assert long == pytest.approx(short, rel=0.25)
     assert np.mean([(score[i] >= 0.7) == (q > 0) for i, _, q in rows[:400] if i % 5 == 0]) > 0.95
+
+
+def test_stream_commits_where_paths_meet_and_keeps_a_bounded_window():
+    pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    draw = random.Random(12)
+
+    def whole(text):
+        score, back = [0.0], [0]
+        for end in range(1, len(text) + 1):
+            options = [(score[start] + pieces.scores[text[start:end]], -start) for start in range(max(0, end - pieces.longest), end) if text[start:end] in pieces.scores]
+            if text[end - 1 : end] not in pieces.scores:
+                options.append((score[end - 1] + pieces.unknown, 1 - end))
+            highest, start = max(options)
+            score.append(highest)
+            back.append(-start)
+        cuts, end = [], len(text)
+        while end:
+            cuts.append(text[back[end] : end])
+            end = back[end]
+        return [n for piece in reversed(cuts) for n in ([pieces.ids[piece]] if piece in pieces.ids else [pieces.byte_ids[b] for b in piece.encode()])]
+
+    texts = {
+        "base64": "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=20_000)),
+        "cjk": "".join(draw.choices("日本語中文人大小上下山川田水火木金土東京学校生国年月時分一二三", k=11_000)),
+        "words": SPACE + prose(13, 2_000).replace(" ", SPACE),
+    }
+    for name, text in texts.items():
+        stream, ids, largest, start = Stream(pieces), [], 0, 0
+        while start < len(text):
+            stop = start + draw.randint(1, 40)
+            ids += stream.push(text[start:stop])
+            largest = max(largest, len(stream.window), len(stream.best) - 1, len(stream.back) - 1)
+            start = stop
+        wanted = whole(text)
+        assert largest <= 4 * pieces.longest, (name, largest)
+        assert len(ids) >= len(wanted) - 4 * pieces.longest
+        assert ids + stream.finish() == wanted, name
+    for text in ("a" * 3000, "ab" * 1500, "=" * 3000 + "-" * 3001, "q7🙂" * 500):
+        stream = Stream(pieces)
+        assert stream.push(text) + stream.finish() == whole(text)

@@ -1,8 +1,10 @@
 """SentencePiece encoding by a streaming Viterbi search over the scores of a model's pieces, and decoding.
 
 A stream keeps best scores and backpointers only from the last committed boundary on. A start stays active while what
-follows it is the beginning of some piece, at most the longest piece. When the boundary itself is the only active start,
-all surviving paths lead through it, and the ids before it are committed.
+follows it is the beginning of some piece, at most the longest piece. Every surviving path ends in an active start. Once
+the window is longer than the longest piece, their backpointers are followed to the latest boundary that all of them
+share, and the ids before it are committed; nothing is committed while paths still differ, so ids are those of a search
+over the whole text. Where paths do not meet, the window grows by half before it is tried again, which keeps time linear.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 @dataclass(frozen=True)
 class Pieces:
     """The vocabulary: score and id of each piece, beginnings of pieces with their scores if they are pieces themselves, bytes
-    of each id, ids of single bytes."""
+    of each id, ids of single bytes, length of the longest piece."""
 
     scores: dict[str, float]
     ids: dict[str, int]
@@ -38,6 +40,7 @@ class Pieces:
     byte_ids: list[int]
     unknown: float
     separable: bool
+    longest: int
 
 
 def load_pieces(model_path: str) -> Pieces:
@@ -56,7 +59,7 @@ def load_pieces(model_path: str) -> Pieces:
             octets[number] = piece.replace(SPACE, " ").encode()
     beginnings = {piece[:n]: scores.get(piece[:n]) for piece in scores for n in range(1, len(piece) + 1)}
     separable = not any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in scores)
-    return Pieces(scores, ids, beginnings, octets, byte_ids, min(scores.values()) - UNKNOWN_PENALTY, separable)
+    return Pieces(scores, ids, beginnings, octets, byte_ids, min(scores.values()) - UNKNOWN_PENALTY, separable, max(map(len, scores)))
 
 
 @dataclass
@@ -68,11 +71,12 @@ class Stream:
     best: list[float] = field(default_factory=lambda: [0.0])
     back: list[int] = field(default_factory=lambda: [0])
     active: list[int] = field(default_factory=lambda: [0])
+    limit: int = 0
 
     def push(self, text: str) -> list[int]:
         found: list[int] = []
         beginnings, unknown = self.pieces.beginnings, self.pieces.unknown
-        window, best, back, active = self.window, self.best, self.back, self.active
+        window, best, back, active, limit = self.window, self.best, self.back, self.active, self.limit or self.pieces.longest
         for character in text:
             window += character
             end = len(window)
@@ -92,21 +96,36 @@ class Stream:
                     highest, origin = total, start
             best.append(highest)
             back.append(origin)
-            if still:
-                active = still
-                active.append(end)
-            else:
-                self.window, self.back = window, back
-                found += self._commit(end)
-                window, best, back, active = self.window, self.best, self.back, self.active
+            still.append(end)
+            active = still
+            if end > limit or active[0] == end:
+                self.window, self.best, self.back, self.active = window, best, back, active
+                found += self._settle()
+                window, best, back, active, limit = self.window, self.best, self.back, self.active, self.limit
         self.window, self.best, self.back, self.active = window, best, back, active
         return found
 
     def finish(self) -> list[int]:
         return self._commit(len(self.window))
 
+    def _settle(self) -> list[int]:
+        """Commits up to the latest boundary on the paths of all active starts."""
+        if len(self.active) == 1:
+            return self._commit(self.active[0])
+        met = set(self.active)
+        while len(met) > 1:
+            latest = max(met)
+            met.remove(latest)
+            met.add(self.back[latest])
+        found = self._commit(met.pop())
+        left, longest = len(self.window), self.pieces.longest
+        self.limit = longest if left < longest else left + left // 2
+        return found
+
     def _commit(self, end: int) -> list[int]:
-        cuts = []
+        """The ids before a boundary, which becomes the window's start, of score 0. Positions whose path missed it are never
+        met again."""
+        cuts, boundary = [], end
         while end:
             cuts.append((self.back[end], end))
             end = self.back[end]
@@ -115,7 +134,13 @@ class Stream:
             piece = self.window[start:stop]
             number = self.pieces.ids.get(piece)
             found += [self.pieces.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if number is None else [number]
-        self.window, self.best, self.back, self.active = "", [0.0], [0], [0]
+        if boundary == len(self.window):
+            self.window, self.best, self.back, self.active, self.limit = "", [0.0], [0], [0], self.pieces.longest
+        elif boundary:
+            self.window = self.window[boundary:]
+            self.best = [score - self.best[boundary] for score in self.best[boundary:]]
+            self.back = [0, *(origin - boundary for origin in self.back[boundary + 1 :])]
+            self.active = [start - boundary for start in self.active if start >= boundary]
         return found
 
 
