@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SETTLED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 SETTINGS = {
     # Joins whose sides are already clustered on a subset of the join keys need no second shuffle.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
@@ -45,4 +48,16 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/voxspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _SETTLED[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``settle`` returned, once nothing reads them any more; others are left alone."""
+    for table in tables:
+        path = _SETTLED.pop(table, None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
