@@ -15,10 +15,14 @@ from voxspark.llm.lattice import near_vectors
 from voxspark.llm.mixing import with_mixture
 from voxspark.llm.nb_language import fit_language, predict_language
 from voxspark.llm.ngram_join import ngram_components
+from voxspark.llm.oracles import ORACLES
 from voxspark.llm.quality import fit_quality, score_quality
+from voxspark.llm.resampling import resample
+from voxspark.llm.shallot import shallot_clusters
 from voxspark.llm.sharding import assign_shards
 from voxspark.llm.toxicity import fit_toxicity, score_toxicity
 from voxspark.llm.viterbi import encode_texts
+from voxspark.llm.warc import archive_pages
 from voxspark.llm.wavelet import read_shards, write_shards
 from voxspark.session import checkpoint_dir
 
@@ -97,6 +101,22 @@ def op10_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(documents, model, keep=("doc_id", (remainder == 1).alias("held_out")))
 
 
+def op11_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding of 64 components after three rounds of exact k-means."""
+    return shallot_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw towards the benchmark's texts."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it was read back from the archives that hold all pages."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return archive_pages(spark, table(spark, sf_dir, "pages"), folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -110,7 +130,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bottom_k_fingerprints,
         op9_jump_shards,
         op10_language_bayes,
+        op11_shallot_clusters,
+        op12_importance_resampling,
+        op13_warc_round_trip,
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
