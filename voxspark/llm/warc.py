@@ -22,7 +22,7 @@ ARCHIVE_BYTES = 256 << 20
 #: Payloads below this size are never revisits.
 LEAST_BYTES = 1000
 #: Records of one span of an archive are read by one task, in reads of at most RUN bytes over gaps of at most GAP bytes.
-SPAN_BYTES, RUN_BYTES, GAP_BYTES = 32 << 20, 4 << 20, 64 << 10
+SPAN_BYTES, RUN_BYTES, GAP_BYTES = 16 << 20, 4 << 20, 64 << 10
 #: Names and values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -235,8 +235,10 @@ def read_records(index: DataFrame, folder: str, payload: bool = True, span_bytes
         if opened[1] is not None:
             opened[1].close()
 
+    # As many tasks as there are spans to read: the index is too small for adaptive execution to see that work.
+    tasks = int((index.agg(F.sum("length")).first()[0] or 0) // span_bytes) + 1
     span = F.floor(F.col("offset") / span_bytes)
-    placed = index.select("archive", "offset", "length").repartition("archive", span).sortWithinPartitions("archive", "offset")
+    placed = index.select("archive", "offset", "length").repartition(tasks, "archive", span).sortWithinPartitions("archive", "offset")
     return placed.mapInArrow(read, RECORDS + (", payload binary" if payload else ""))
 
 
