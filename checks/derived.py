@@ -31,6 +31,14 @@ FROM (
 ) AS cells
 """
 
+# The same voxels over several 64-cell blocks, up to the largest coordinate but one, with all eight flag bits.
+FAR_VOXELS = (
+    "SELECT model_id, x + CASE SUBSTR(model_id, 1, 1) WHEN 'R' THEN 2097135 WHEN 'A' THEN 56 ELSE 0 END AS x, "
+    "y + CASE SUBSTR(model_id, 1, 1) WHEN 'R' THEN 2097135 WHEN 'A' THEN 60 ELSE 1000000 END AS y, "
+    "z + CASE SUBSTR(model_id, 1, 1) WHEN 'R' THEN 2097119 WHEN 'A' THEN 40 ELSE 50 END AS z, "
+    "vid, dx, dy, dz, flags + 64 * (dx % 4) AS flags, ovoxel_type, qef_rank FROM (" + VOXELS + ") AS near"
+)
+
 # Rows as a file scan would give them: chunk number, rank in the chunk, no vid yet. Chunks are 8 x 8 x 8 cells.
 CHUNKED = (
     "SELECT v.*, (x // 8) * 8 + (y // 8) * 4 + (z // 8) AS chunk_no, "
@@ -131,6 +139,10 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_sql(spark, sf_dir, VOXELS)
 
 
+def far_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark_sql(spark, sf_dir, FAR_VOXELS)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark_sql(spark, sf_dir, CELLS)
 

@@ -15,6 +15,7 @@ ORACLES: dict[str, str] = {}
 
 CTES = {
     "voxels": derived.VOXELS,
+    "far_voxels": derived.FAR_VOXELS,
     "chunked": derived.CHUNKED,
     "cells": derived.CELLS,
     "manifest": derived.MANIFEST,

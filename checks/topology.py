@@ -130,9 +130,9 @@ ids AS (
 )
 
 
-def _grid(spark, sf):
+def _grid(spark, sf, voxels=d.voxels):
     """Voxels, quads, and quad count, cluster width and resolution per model; quads are found once and read often."""
-    v = settle(d.voxels(spark, sf))
+    v = settle(voxels(spark, sf))
     surface = settle(t.quads(v, with_dual=True))
     counts = surface.groupBy("model_id").agg(F.count("*").alias("quad_count"))
     return v, surface, settle(cluster_widths(counts, BUDGET).withColumn("resolution", F.lit(R)))
@@ -313,6 +313,38 @@ def d1(spark, sf):
     return lod.lod_faces(surface, grid)
 
 
+# Steps of the larger grid, and sums of keys that leave 64 bits.
+FAR = "WITH voxels AS (SELECT * FROM far_voxels)," + LOD.replace("4096 * 4096", "4398046511104").replace("4096", "2097152").replace("a + b + c", "a::HUGEINT + b + c")
+
+
+@query(
+    "p14_far_quads",
+    FAR + " SELECT model_id, vid, CAST(axis AS INT) AS axis, positive, v0, v1, v2, v3 FROM quads",
+    ("far_voxels",),
+)
+def p14_far(spark, sf):
+    return t.quads(d.far_voxels(spark, sf)).select("model_id", "vid", "axis", "positive", *[f"v{n}" for n in t.CORNERS])
+
+
+@query("d1_far_triangles", FAR + " SELECT model_id, face_key, a, b, c FROM lod_faces", ("far_voxels",))
+def d1_far(spark, sf):
+    v, surface, grid = _grid(spark, sf, d.far_voxels)
+    return lod.lod_faces(surface, grid)
+
+
+@query(
+    "w4_far_faces",
+    FAR
+    + """ SELECT f.model_id, f.face_key, ia.vertex_id AS a, ib.vertex_id AS b, ic.vertex_id AS c FROM lod_faces AS f
+          JOIN ids AS ia ON ia.model_id = f.model_id AND ia.cluster = f.a JOIN ids AS ib ON ib.model_id = f.model_id AND ib.cluster = f.b
+          JOIN ids AS ic ON ic.model_id = f.model_id AND ic.cluster = f.c""",
+    ("far_voxels",),
+)
+def w4_far(spark, sf):
+    v, surface, grid = _grid(spark, sf, d.far_voxels)
+    return lod.reindex(lod.lod_faces(surface, grid))[1]
+
+
 @query("f5_non_degenerate", "WITH " + LOD + " SELECT model_id, face_key, a, b, c FROM ranked", ("voxels",))
 def f5(spark, sf):
     v, surface, grid = _grid(spark, sf)

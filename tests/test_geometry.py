@@ -126,6 +126,19 @@ def test_random_quads_match_brute_force(spark):
     assert found == expected and len(found) > 1000
 
 
+def test_distinct_triangles_of_the_largest_keys_keep_the_first_winding(spark):
+    top = (1 << 63) - 1
+    keys = [top, top - 1, top - 2, 0, 5]
+    rng = np.random.default_rng(2)
+    rows = [("m", int(n), *[keys[k] for k in rng.permutation(5)[:3]]) for n in rng.permutation(200)]
+    rows += [("m", 900, 5, 5, top), ("m", 901, top, 5, 5), ("m", 902, 0, top, 0)]
+    faces = spark.createDataFrame(rows, "model_id string, face_key long, a long, b long, c long")
+    first = {}
+    for _, key, *corners in sorted(rows):
+        first.setdefault(tuple(sorted(corners)), (key, *corners))
+    assert sorted((r.face_key, r.a, r.b, r.c) for r in topology.distinct_triangles(faces).collect()) == sorted(first.values())
+
+
 def test_one_exchange_serves_all_four_corners(spark):
     voxels = voxel_frame(spark, SQUARE, [(0, 0, 0)] * 4, [1, 0, 0, 0])
     frame = topology.quads(voxels, with_dual=True)

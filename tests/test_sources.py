@@ -164,6 +164,19 @@ def test_batch_decode_writes_exact_meshes_and_statuses(spark, tmp_path):
     assert [(r.a, r.b, r.c) for r in read_back.orderBy("face_id").collect()] == [tuple(f) for f in faces.tolist()]
 
 
+def test_exact_meshes_take_grids_that_the_preview_store_refuses(spark, tmp_path):
+    for name, x in (("near", 100), ("far", 70_000), ("last", (1 << 21) - 1), ("beyond", 1 << 21)):
+        cells = [(x, y, z) for _, y, z in CELLS]
+        write_vxz(tmp_path / f"in/{name}.vxz", cells, DUAL, [1, 0, 0, 0], chunk_size=2)
+    files = corpus_files(spark, str(tmp_path / "in"))
+    found = {r.model_id: (r.status, r.reason) for r in decode_corpus(files, str(tmp_path / "out")).collect()}
+    assert found.pop("beyond") == ("failed", "key_range")
+    assert found == dict.fromkeys(("near", "far", "last"), ("decoded", None))
+    assert len(read_ply(tmp_path / "out/far.ply")[1]) == 2
+    prepared = {r.model_id: r.status for r in prepare(files, str(tmp_path / "store")).collect()}
+    assert prepared == {"near": "ready", "far": "failed", "last": "failed", "beyond": "failed"}
+
+
 def test_prepared_store_and_stream(spark, tmp_path):
     cells, dual, flags = sphere(20, 7.0)
     source, store = tmp_path / "in", str(tmp_path / "store")

@@ -10,6 +10,10 @@ from voxspark.functions.geometry import fits_key, pack_cell
 from voxspark.operators.lookup import lookup_join
 
 
+#: Rules that the preview store adds: its records hold 16-bit coordinates, which exact meshes do not need.
+STORE_RULES = ("record_range", "resolution_limit")
+
+
 def _long_format(counts: DataFrame, rules: dict[str, Column]) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(r).alias("rule"), c.cast("long").alias("violations")) for r, c in rules.items()])
     return counts.select("model_id", F.explode(entries).alias("e")).select("model_id", "e.rule", "e.violations")

@@ -183,18 +183,20 @@ def non_degenerate(triangle_table: DataFrame) -> DataFrame:
 
 
 def distinct_triangles(triangle_table: DataFrame) -> DataFrame:
-    """One triangle per set of corners, with the winding of the first."""
+    """One triangle per set of corners, with the winding of the first. Corners may be any whole numbers of 64 bits."""
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    low, high = F.least(a, b, c), F.greatest(a, b, c)
-    # The ranks of a and b among the corners travel in the key, so that all is grouped and kept as whole numbers.
-    ranks = ((a > b).cast("int") + (a > c).cast("int")) * 3 + (b > a).cast("int") + (b > c).cast("int")
+    middle = F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+    # The rank of every corner travels in the key, so that all is grouped and kept as whole numbers. Corners are never
+    # added up: packed cells use all 63 bits.
+    ranks = [(p > q).cast("int") + (p > r).cast("int") for p, q, r in ((a, b, c), (b, c, a), (c, a, b))]
+    code = (ranks[0] * 3 + ranks[1]) * 3 + ranks[2]
     first = (
-        triangle_table.select("model_id", low.alias("__0"), (a + b + c - low - high).alias("__1"), high.alias("__2"), (F.col("face_key") * 9 + ranks).alias("__key"))
+        triangle_table.select(
+            "model_id", F.least(a, b, c).alias("__0"), middle.alias("__1"), F.greatest(a, b, c).alias("__2"), (F.col("face_key") * 27 + code).alias("__key")
+        )
         .groupBy("model_id", "__0", "__1", "__2")
         .agg(F.min("__key").alias("__key"))
     )
     corners = F.array("__0", "__1", "__2")
-    code = (F.col("__key") % 9).cast("int")
-    placed = first.withColumn("a", corners[F.expr("cast(__key % 9 div 3 AS INT)")]).withColumn("b", corners[code % 3])
-    total = F.col("__0") + F.col("__1") + F.col("__2")
-    return placed.select("model_id", F.expr("__key div 9").alias("face_key"), "a", "b", (total - F.col("a") - F.col("b")).alias("c"))
+    placed = [corners[F.expr(f"cast(__key div {unit} % 3 AS INT)")].alias(n) for n, unit in zip("abc", (9, 3, 1), strict=True)]
+    return first.select("model_id", F.expr("__key div 27").alias("face_key"), *placed)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxspark.operators.constraints import validate_voxels
+from voxspark.operators.constraints import STORE_RULES, validate_voxels
 from voxspark.operators.ordinals import voxel_ordinals
 from voxspark.operators.summary import resolutions
 from voxspark.operators.topology import quads
@@ -41,11 +41,12 @@ def _unlisted(files: DataFrame) -> DataFrame:
     return claimed.select("model_id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
-def load_corpus(files: DataFrame, resolution: int | None = None) -> Corpus:
+def load_corpus(files: DataFrame, resolution: int | None = None, for_store: bool = True) -> Corpus:
     """Decode, number and check every listed file; one bad file does not stop the others.
 
     ``files`` has model_id and path, and length and problem if known. Every model_id of the list is either among the
-    resolutions or among the failures. Decoded voxels and quads are read several times later on, so each is settled once.
+    resolutions or among the failures. With ``for_store``, models beyond the 16-bit records of the preview store fail as
+    well; exact meshes take all coordinates of 21 bits. Decoded voxels and quads are read several times later on, so each is settled once.
     """
     unlisted = settle(_unlisted(files))
     files = files.join(unlisted, "model_id", "left_anti")
@@ -57,6 +58,8 @@ def load_corpus(files: DataFrame, resolution: int | None = None) -> Corpus:
     sizes = settle(resolutions(rows, _requested(headers, resolution)))
     announced = headers.select("model_id", "num_voxel").join(sizes, "model_id", "left")
     violations = validate_voxels(rows, announced).where(F.col("violations") > 0)
+    if not for_store:
+        violations = violations.where(~F.col("rule").isin(*STORE_RULES))
     broken = violations.groupBy("model_id").agg(F.min("rule").alias("reason"))
     failed = unreadable.unionByName(broken).unionByName(unlisted)
     unusable = settle(failed.groupBy("model_id").agg(F.min("reason").alias("reason")))

@@ -54,7 +54,7 @@ def decode_corpus(files: DataFrame, folder: str, resolution: int | None = None,
     if skip_existing:
         skipped = existing_outputs(files, folder)
         todo = files.join(skipped, "model_id", "left_anti")
-    corpus = load_corpus(todo, resolution)
+    corpus = load_corpus(todo, resolution, for_store=False)
     vertices, faces = exact_mesh(corpus)
     meshes = corpus.resolutions.select(
         F.col("model_id").alias("mesh_id"), F.concat("model_id", F.lit(".vxz")).alias("source"), "resolution"
