@@ -126,6 +126,7 @@ COMPONENT_LIGHTNESS = 0.57
 OVERLAY_MAX_PIXELS = 4096
 MIN_NORMALIZABLE_EDGE = 1e-12
 MAX_SAFE_INTEGER = 9_007_199_254_740_991
+UNSAFE_LABELS = "One or more 64-bit labels exceeded JavaScript's safe integer range."
 
 # --- fixed values: volume kind per base file name (patterns on the lower-cased stem) ------------
 VOLUME_KIND_PATTERNS = (

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxspark import constants as C
 from voxspark.functions.names import is_manifest_name, is_mesh_name, mesh_order, volume_order, volume_role
 from voxspark.operators.lookup import lookup_join
+from voxspark.operators.ordinals import sorted_ordinals
 from voxspark.session import settle
 
 ROLES = tuple(C.ROLE_SCORE)
 
 
+def _in_folder() -> tuple[Column, ...]:
+    return F.col("type") != "directory", F.lower("name"), F.col("name")
+
+
 def listing_order(files: DataFrame) -> DataFrame:
     """Directories first, then by lower-cased name."""
-    return files.orderBy(F.col("type") != "directory", F.lower("name"))
+    return files.orderBy(*_in_folder())
+
+
+def listing_ordinals(files: DataFrame) -> DataFrame:
+    """Adds ``ordinal``: the place of every entry in its root, folder by folder, each in listing order."""
+    return sorted_ordinals(files, (F.col("dir"), *_in_folder()), "ordinal", ["root"])
 
 
 def classified_files(files: DataFrame) -> DataFrame:
@@ -119,9 +129,18 @@ def folder_selection(files: DataFrame) -> DataFrame:
     return loaded.unionByName(manifests)
 
 
+def _in_load_order() -> tuple[Column, ...]:
+    return F.col("kind") == "mesh", F.col("ord"), F.collate("name", "UNICODE")
+
+
 def load_order(selection: DataFrame) -> DataFrame:
     """Volumes by step and role, then meshes with the preferred names first, names in Unicode collation."""
-    return selection.orderBy("root", F.col("kind") == "mesh", "ord", F.collate("name", "UNICODE"))
+    return selection.orderBy("root", *_in_load_order())
+
+
+def load_ordinals(selection: DataFrame) -> DataFrame:
+    """Adds ``place``: where every file stands in the load order of its root and folder."""
+    return sorted_ordinals(selection, _in_load_order(), "place", ["root", "dir"])
 
 
 def default_volumes(selection: DataFrame) -> DataFrame:

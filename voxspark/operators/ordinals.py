@@ -49,6 +49,33 @@ def dense_ordinals(keys: DataFrame, key: str, ordinal: str, group: Sequence[str]
     )
 
 
+def sorted_ordinals(rows: DataFrame, order: Sequence[Column], ordinal: str, group: Sequence[str]) -> DataFrame:
+    """Add the 0-based place of every row in its group's order; the order may be of any type, collations included.
+
+    Rows are dealt by ranges of (group, order) and numbered by their places in the sorted tasks, so a group of any size
+    is spread over tasks, and rows that are equal in the whole order keep places of their own. The offsets are one row
+    per (task, group): a window partition has at most as many rows as there are tasks.
+    """
+    group = list(group)
+    tie = F.monotonically_increasing_id()
+    keys = [*[F.col(c) for c in group], *order, F.col("__tie")]
+    placed = settle(
+        rows.withColumn("__tie", tie)
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .drop("__tie")
+        .withColumn("__position", F.monotonically_increasing_id())
+        .withColumn("__task", F.shiftright("__position", 33).cast("int"))
+    )
+    renamed = [F.col(c).alias(f"__of_{c}") for c in group]
+    runs = placed.groupBy(F.col("__task").alias("__run"), *renamed).agg(F.count(F.lit(1)).alias("__rows"), F.min("__position").alias("__first"))
+    before = Window.partitionBy(*[f"__of_{c}" for c in group]).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.withColumn("__start", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
+    matched = [F.col("__task") == F.col("__run"), *[F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in group]]
+    place = (F.col("__position") - F.col("__first") + F.col("__start")).cast("long").alias(ordinal)
+    return placed.join(starts, matched).select(*rows.columns, place)
+
+
 def voxel_ordinals(voxels: DataFrame, ordinal: str = "vid") -> DataFrame:
     """File-order ordinal of every voxel: start of its chunk plus its rank in the chunk.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxspark.constants import MAX_SAFE_INTEGER
+from voxspark.constants import MAX_SAFE_INTEGER, UNSAFE_LABELS
 from voxspark.functions.colors import channels, component_color, label_color
 from voxspark.functions.geometry import check_axis, node_position, pixel_to_grid, slice_height
 from voxspark.functions.labels import (
@@ -121,6 +121,12 @@ def inspect(probes: DataFrame, cells: DataFrame, volumes: DataFrame, label_rows:
     )
 
 
+def volume_warnings(cells: DataFrame, volumes: DataFrame) -> DataFrame:
+    """(volume_id, warnings) of the volumes that have something to warn of: 64-bit labels that a DOUBLE does not hold exactly."""
+    unsafe = unsafe_volumes(cells, volumes).where(F.col("unsafe_labels") > 0)
+    return unsafe.select("volume_id", F.array(F.lit(UNSAFE_LABELS)).alias("warnings"))
+
+
 def unsafe_volumes(cells: DataFrame, volumes: DataFrame) -> DataFrame:
     """64-bit integer volumes with the number of labels beyond the exactly representable range."""
     wide = lookup_join(cells, volumes.where(F.col("dtype").rlike("[iu]8$")).select("volume_id"), ["volume_id"])

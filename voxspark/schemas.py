@@ -71,6 +71,21 @@ VXZ_DIRECTORY = T.StructType(
     ]
 )
 
+#: Entries of folder trees; ``walked`` marks folders whose own entries are listed next.
+LISTING = T.StructType(
+    [
+        T.StructField("root", T.StringType(), True),
+        T.StructField("dir", T.StringType(), False),
+        T.StructField("name", T.StringType(), False),
+        T.StructField("path", T.StringType(), True),
+        T.StructField("type", T.StringType(), False),
+        T.StructField("size", T.LongType(), True),
+        T.StructField("mtime_ms", T.LongType(), True),
+        T.StructField("walked", T.BooleanType(), False),
+        T.StructField("error", T.StringType(), True),
+    ]
+)
+
 VOLUMES = T.StructType(
     [
         T.StructField("volume_id", T.StringType(), False),
@@ -85,6 +100,16 @@ VOLUMES = T.StructType(
     ]
 )
 
+#: Listed volume files: what reading their cells takes.
+VOLUME_FILES = T.StructType(
+    [
+        *VOLUMES.fields,
+        T.StructField("path", T.StringType(), False),
+        T.StructField("size", T.LongType(), True),
+        T.StructField("data_offset", T.LongType(), True),
+    ]
+)
+
 VOLUME_CELLS = T.StructType(
     [
         T.StructField("volume_id", T.StringType(), False),

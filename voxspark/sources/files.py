@@ -12,10 +12,12 @@ SPLIT_BYTES = 32 * 1024 * 1024
 
 
 def resolve(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and inner path of a plain path or URI; Spark writes local files as file:/path."""
-    if re.match(r"^file:/(?!/)", path):
-        path = "file://" + path[5:]
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    """File system and inner path of a plain path or URI as Spark writes them: nothing in them is percent-encoded."""
+    parts = re.match(r"^([a-zA-Z][a-zA-Z0-9+.-]*):(//[^/]*)?(/.*|)$", path, re.DOTALL)
+    if parts is None or parts[1].lower() == "file":
+        return pafs.LocalFileSystem(), path if parts is None else parts[3]
+    filesystem, base = pafs.FileSystem.from_uri(f"{parts[1]}:{parts[2] or '//'}/")
+    return filesystem, base.rstrip("/") + parts[3]
 
 
 def open_file(path: str):
