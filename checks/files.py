@@ -17,7 +17,7 @@ from voxspark.plans.decode import decode_corpus
 from voxspark.session import checkpoint_dir
 from voxspark.sources import register
 from voxspark.sources.files import resolve
-from voxspark.sources.vxz import corpus_files, read_headers
+from voxspark.sources.vxz import corpus_files, listed_files, read_headers
 from voxspark.streaming.ingest import ingest
 
 CHUNK = 8
@@ -119,6 +119,34 @@ def t1(spark, sf) -> DataFrame:
     return spark.read.parquet(source + "-store/jobs").groupBy("status").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query(
+    "s1_listed_models",
+    """WITH m AS (SELECT DISTINCT model_id FROM voxels)
+       SELECT model_id, CASE WHEN model_id LIKE 'R%' THEN 'duplicate stem' END AS problem, kind
+       FROM m, (VALUES ('relative'), ('absolute')) AS t(kind) WHERE kind = 'relative' OR model_id LIKE 'R%'
+       UNION ALL SELECT model_id || '-note', 'not a .vxz path', 'relative' FROM m""",
+    ("voxels",),
+)
+def s1(spark, sf) -> DataFrame:
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/voxspark-{uuid.uuid4().hex}"
+    model = F.col("model_id")
+    entries = d.voxels(spark, sf).select("model_id").distinct().select(
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.concat(F.lit("  in/"), model, F.lit(".vxz # first")),
+                    F.when(model.startswith("R"), F.concat(F.lit("/data/"), model, F.lit(".VXZ"))),
+                    F.concat(F.lit("in/"), model, F.lit("-note.txt")),
+                    F.concat(F.lit("# "), model),
+                )
+            )
+        ).alias("value")
+    )
+    entries.write.text(folder)
+    kind = F.when(F.col("path").startswith("/data/"), "absolute").when(F.col("path").startswith("/root/in/"), "relative").alias("kind")
+    return listed_files(spark, folder, "/root").select("model_id", "problem", kind)
+
+
 @query(
     "a14_fetch_outcome",
     """SELECT COUNT(*) AS succeeded, COUNT(*) AS failed FROM (SELECT DISTINCT model_id FROM voxels) AS m""",

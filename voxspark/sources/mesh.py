@@ -36,7 +36,14 @@ def _steps(low: int, high: int) -> Iterator[tuple[int, int]]:
         yield start, min(start + BATCH_ROWS, high)
 
 
-def _fan(polygons: list[list[int]]) -> np.ndarray:
+def _exactly(handle, start: int, length: int) -> bytes:
+    raw = read_range(handle, start, length)
+    if len(raw) != length:
+        raise ValueError("data is shorter than announced")
+    return raw
+
+
+def fan(polygons: list[list[int]]) -> np.ndarray:
     triangles = [(p[0], p[n], p[n + 1]) for p in polygons for n in range(1, len(p) - 1)]
     return np.asarray(triangles, np.int64).reshape(-1, 3)
 
@@ -80,6 +87,19 @@ class Ply:
             raise ValueError("PLY faces must have one list property")
         return self.elements[1][1], (self.order + PLY_TYPES[lists[0][1]], self.order + PLY_TYPES[lists[0][2]])
 
+    def face_count(self) -> int:
+        return self._faces()[0]
+
+    def fixed(self) -> bool:
+        """Whether the file has no faces, or only faces of three corners and nothing behind them."""
+        count, kinds = self._faces()
+        start = self.start + self.vertex_count * self.vertex.itemsize
+        if start > self.size:
+            raise ValueError("PLY data is shorter than announced")
+        if count == 0:
+            return True
+        return len(self.elements) == 2 and self.size - start == count * np.dtype([("n", kinds[0]), ("v", kinds[1], 3)]).itemsize
+
     def vertices(self, part: int, parts: int) -> Rows:
         if self.format == "ascii":
             names = [p[1] for p in self.elements[0][2]]
@@ -88,7 +108,7 @@ class Ply:
             return
         for low, high in _steps(*share(self.vertex_count, part, parts)):
             width = self.vertex.itemsize
-            rows = np.frombuffer(read_range(self.handle, self.start + low * width, (high - low) * width), self.vertex)
+            rows = np.frombuffer(_exactly(self.handle, self.start + low * width, (high - low) * width), self.vertex)
             yield low, np.column_stack([rows[c].astype(np.float32) for c in "xyz"])
 
     def faces(self, part: int, parts: int) -> Rows:
@@ -97,14 +117,14 @@ class Ply:
             return
         if self.format == "ascii":
             if part == 0:
-                yield from self._ascii(self.vertex_count, count, lambda w: [int(v) for v in w[1 : int(w[0]) + 1]], fan=True)
+                yield from self._ascii(self.vertex_count, count, lambda w: [int(v) for v in w[1 : int(w[0]) + 1]], polygons=True)
             return
         start = self.start + self.vertex_count * self.vertex.itemsize
         triangle = np.dtype([("n", kinds[0]), ("v", kinds[1], 3)])
         fixed = len(self.elements) == 2 and self.size - start == count * triangle.itemsize
         if fixed:
             for low, high in _steps(*share(count, part, parts)):
-                raw = read_range(self.handle, start + low * triangle.itemsize, (high - low) * triangle.itemsize)
+                raw = _exactly(self.handle, start + low * triangle.itemsize, (high - low) * triangle.itemsize)
                 rows = np.frombuffer(raw, triangle)
                 if (rows["n"] != 3).any():
                     raise ValueError("PLY faces of mixed sizes")
@@ -119,13 +139,15 @@ class Ply:
         for _ in range(count):
             corners = int(np.frombuffer(self.handle.read(size_type.itemsize), size_type)[0])
             polygons.append(np.frombuffer(self.handle.read(corners * index_type.itemsize), index_type).tolist())
+            if len(polygons[-1]) != corners:
+                raise ValueError("PLY data is shorter than announced")
             if len(polygons) == BATCH_ROWS:
-                rows = _fan(polygons)
+                rows = fan(polygons)
                 yield face, rows
                 face, polygons = face + len(rows), []
-        yield face, _fan(polygons)
+        yield face, fan(polygons)
 
-    def _ascii(self, skip: int, count: int, parse, fan: bool = False) -> Rows:
+    def _ascii(self, skip: int, count: int, parse, polygons: bool = False) -> Rows:
         self.handle.seek(self.start)
         first, rows = 0, []
         for number, line in enumerate(_lines(self.handle)):
@@ -135,11 +157,11 @@ class Ply:
                 break
             rows.append(parse(line.split()))
             if len(rows) == BATCH_ROWS:
-                block = _fan(rows) if fan else np.asarray(rows, np.float32)
+                block = fan(rows) if polygons else np.asarray(rows, np.float32)
                 yield first, block
                 first, rows = first + len(block), []
         if rows:
-            yield first, _fan(rows) if fan else np.asarray(rows, np.float32)
+            yield first, fan(rows) if polygons else np.asarray(rows, np.float32)
 
 
 def _lines(handle) -> Iterator[str]:
@@ -170,7 +192,7 @@ class Obj:
             if words[0] != "f":
                 return []
             numbers = [int(w.split("/", 1)[0]) for w in words[1:]]
-            return _fan([[n - 1 if n > 0 else seen + n for n in numbers]]).tolist()
+            return fan([[n - 1 if n > 0 else seen + n for n in numbers]]).tolist()
 
         yield from self._rows(part, fans, np.int64)
 
@@ -200,12 +222,14 @@ class Stl:
         self.handle = handle
         self.count = int.from_bytes(head[80:84], "little")
         self.binary = len(head) == 84 and size == 84 + self.count * STL_FACET.itemsize
+        if not self.binary and not head.lstrip()[:5].lower() == b"solid":
+            raise ValueError("not an STL file")
 
     def _points(self, part: int, parts: int) -> Rows:
         if self.binary:
             for low, high in _steps(*share(self.count, part, parts)):
                 width = STL_FACET.itemsize
-                rows = np.frombuffer(read_range(self.handle, 84 + low * width, (high - low) * width), STL_FACET)
+                rows = np.frombuffer(_exactly(self.handle, 84 + low * width, (high - low) * width), STL_FACET)
                 yield 3 * low, rows["points"].reshape(-1, 3)
         elif part == 0:
             self.handle.seek(0)
