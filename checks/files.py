@@ -14,10 +14,10 @@ from checks.topology import QUADS
 from checks.voxel_files import vxz_bytes
 from voxspark.operators.cache import fetch_counts, fetched
 from voxspark.plans.decode import decode_corpus
-from voxspark.session import checkpoint_dir
+from voxspark.session import checkpoint_dir, settle
 from voxspark.sources import register
 from voxspark.sources.files import resolve
-from voxspark.sources.vxz import corpus_files, listed_files, read_headers
+from voxspark.sources.vxz import corpus_files, decode, listed_files, read_directory, read_headers
 from voxspark.streaming.ingest import ingest
 
 CHUNK = 8
@@ -70,6 +70,20 @@ def s3(spark, sf):
     return spark.read.format("vxz").load(_written(spark, sf, False)).drop("chunk_no")
 
 
+@query(
+    "f1_file_slice",
+    """SELECT 'z' AS axis, model_id, x, y, z, dx, dy, dz, flags FROM voxels WHERE z = 17
+       UNION ALL SELECT 'x', model_id, x, y, z, dx, dy, dz, flags FROM voxels WHERE x = 3 AND y >= 4 AND y < 13""",
+    ("voxels",),
+)
+def f1_files(spark, sf) -> DataFrame:
+    files = corpus_files(spark, _written(spark, sf, False))
+    directory = settle(read_directory(files))
+    boxes = {"z": {"z": (17, 18)}, "x": {"x": (3, 4), "y": (4, 13)}}
+    parts = [decode(files, directory, box).where("error IS NULL").withColumn("axis", F.lit(axis)) for axis, box in boxes.items()]
+    return parts[0].unionByName(parts[1]).select("axis", "model_id", "x", "y", "z", "dx", "dy", "dz", "flags")
+
+
 @query(
     "s2_vxz_headers",
     f"""SELECT model_id, COUNT(*) AS num_voxel, {CHUNK} AS chunk_size, COUNT(DISTINCT chunk_no) AS chunk_count,

@@ -8,7 +8,9 @@ from checks.voxel_files import sphere, write_vxz
 from voxspark.operators.constraints import validate_voxels
 from voxspark.plans.decode import decode_corpus, outcome_counts
 from voxspark.plans.prepare import prepare, store_table, stored_slice
+from voxspark.sources.files import open_file, read_range
 from voxspark.sources.vxz import corpus_files, decode, listed_files, read_headers
+from voxspark.sources.vxz_format import locate, octree_leaves, read_header
 from voxspark.streaming.ingest import ingest
 
 CELLS = [(0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1)]
@@ -273,3 +275,61 @@ def test_mesh_files_that_cannot_be_read_are_told(spark, tmp_path):
     (tmp_path / "c.glb").write_bytes(b"glTF")
     errors = {r.mesh_id: r.error for r in spark.read.format("mesh").option("content", "files").load(str(tmp_path)).collect()}
     assert errors["a.obj"] is None and "not a PLY file" in errors["b.ply"] and "unsupported" in errors["c.glb"]
+
+
+def walked_leaves(tree, depth):
+    """Leaves of a depth-first octree, node by node."""
+    found, position = [], 0
+
+    def walk(level, code):
+        nonlocal position
+        mask = tree[position]
+        position += 1
+        for child in range(8):
+            if mask >> child & 1:
+                walk(level + 1, code << 3 | child) if level < depth - 1 else found.append(code << 3 | child)
+
+    walk(0, 0)
+    return found, position
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 6])
+def test_octrees_are_decoded_and_pruned_like_a_walk(depth):
+    rng = np.random.default_rng(depth)
+    for trial in range(30):
+        tree = rng.integers(0, 256, 6000, dtype=np.uint8) & rng.integers(0, 256, 6000, dtype=np.uint8)
+        tree[rng.random(6000) < 0.1] = 0
+        try:
+            expected, used = walked_leaves(tree, depth)
+        except IndexError:
+            with pytest.raises(ValueError, match="ends early"):
+                octree_leaves(tree, depth)
+            continue
+        leaves = octree_leaves(tree[:used], depth)
+        assert leaves.codes.tolist() == expected and leaves.ranks.tolist() == list(range(len(expected))) and leaves.total == len(expected)
+        assert leaves.visited == used
+        with pytest.raises(ValueError, match="trailing" if used < len(tree) else "early"):
+            octree_leaves(tree[: used + 1] if used < len(tree) else tree[:-1], depth)
+        side = 1 << depth
+        bounds = [sorted(rng.integers(-1, side + 2, 2).tolist()) for _ in range(3)]
+        cells = np.stack([sum((np.array(expected, int) >> 3 * b + o & 1) << b for b in range(depth)) for o in (2, 1, 0)]) if expected else np.empty((3, 0), int)
+        inside = np.all([(c >= low) & (c < high) for c, (low, high) in zip(cells, bounds)], axis=0)
+        pruned = octree_leaves(tree[:used], depth, bounds)
+        assert pruned.codes.tolist() == np.array(expected, int)[inside].tolist() and pruned.ranks.tolist() == np.flatnonzero(inside).tolist()
+        assert pruned.visited <= used and pruned.total == len(expected)
+
+
+def test_bounded_decode_looks_at_few_nodes_and_keeps_ranks(spark, tmp_path):
+    cells, dual, flags = sphere(64, 25.0)
+    write_vxz(tmp_path / "ball.vxz", cells, dual, flags, chunk_size=64)
+    files = corpus_files(spark, str(tmp_path))
+    whole = {(r.x, r.y, r.z): (r.chunk_rank, r.dx, r.flags) for r in decode(files).collect()}
+    part = decode(files, bounds={"z": (9, 10), "x": (0, 40)}).collect()
+    assert {(r.x, r.y, r.z): (r.chunk_rank, r.dx, r.flags) for r in part} == {c: v for c, v in whole.items() if c[2] == 9 and c[0] < 40}
+    with open_file(str(tmp_path / "ball.vxz")) as handle:
+        header = read_header(handle)
+        start, length = locate(header, 0, handle.size()).streams["svo"]
+        tree = np.frombuffer(read_range(handle, start, length), np.uint8)
+    assert octree_leaves(tree, 6, [(0, 64), (0, 64), (9, 10)]).visited < len(tree) / 10
+    with pytest.raises(ValueError, match="no axes"):
+        decode(files, bounds={"k": (0, 1)})

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
@@ -25,13 +25,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxspark.schemas import VOXELS, VXZ_DIRECTORY, VXZ_HEADERS
 from voxspark.sources.files import SPLIT_BYTES, FileSplit, open_file, share, size_splits, stem
-from voxspark.sources.vxz_format import Chunk, locate, read_chunk, read_header
+from voxspark.sources.vxz_format import Bounds, Chunk, locate, read_chunk, read_header
 
 DECODED = T.StructType(
     [T.StructField(f.name, f.dataType, f.name != "model_id") for f in VOXELS.fields]
     + [T.StructField("error", T.StringType(), True)]
 )
 _DIRECTORY = to_arrow_schema(VXZ_DIRECTORY)
+#: Bounds of an axis without any.
+EVERYWHERE = (-(1 << 40), 1 << 40)
 #: Chunks of a directory that travel in one Arrow batch.
 DIRECTORY_ROWS = 1024
 _ARROW = pa.schema(
@@ -138,7 +140,6 @@ def _chunk_batch(model_id: str, chunk_no: int, columns: dict[str, np.ndarray]) -
     full = {
         "model_id": pa.array([model_id] * count, pa.string()),
         "chunk_no": np.full(count, chunk_no, np.int32),
-        "chunk_rank": np.arange(count, dtype=np.int32),
         **columns,
     }
     return [
@@ -146,7 +147,7 @@ def _chunk_batch(model_id: str, chunk_no: int, columns: dict[str, np.ndarray]) -
     ]
 
 
-def _decode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decode_chunks(batches: Iterator[pa.RecordBatch], bounds: Bounds | None) -> Iterator[pa.RecordBatch]:
     schema = _ARROW.append(pa.field("error", pa.string()))
     for batch in batches:
         for row in batch.to_pylist():
@@ -156,7 +157,7 @@ def _decode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 shared = SimpleNamespace(**{**row, "attributes": [(a["name"], a["channels"]) for a in row["attributes"]]})
                 chunk = Chunk(tuple(row["origin"]), {s["name"]: (s["start"], s["length"]) for s in row["streams"]})
                 with open_file(row["path"]) as handle:
-                    columns = read_chunk(handle, shared, chunk)
+                    columns = read_chunk(handle, shared, chunk, bounds)
                 arrays = _chunk_batch(row["model_id"], row["chunk_no"], columns)
                 yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(arrays[0]), pa.string())], schema=schema)
             except (ValueError, OSError, RuntimeError, OverflowError) as error:
@@ -164,22 +165,38 @@ def _decode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_pylist([failed], schema=schema)
 
 
-def decode(files: DataFrame, directory: DataFrame | None = None) -> DataFrame:
+def _reaches(bounds: Bounds) -> Column:
+    """Whether a chunk of the directory reaches into bounds."""
+    inside = F.lit(True)
+    for axis, (low, high) in enumerate(bounds):
+        start = F.col("origin")[axis].cast("long")
+        inside = inside & (start < high) & (start + F.col("chunk_size") > low)
+    return inside
+
+
+def decode(files: DataFrame, directory: DataFrame | None = None, bounds: Mapping[str, tuple[int, int]] | None = None) -> DataFrame:
     """Voxels of all listed files, plus one row with an error for every chunk or file that cannot be read.
 
     Chunks are the unit of work: the chunk list is spread evenly over tasks, however large single files are, and a task
-    goes straight to the bytes of its chunks.
+    goes straight to the bytes of its chunks. ``bounds`` holds half-open cell ranges of x, y or z: chunks outside are
+    left out by the directory, and in the others the parts of the octree outside are stepped over. Ranks in a chunk
+    stay those of the whole chunk.
     """
+    if unknown := set(bounds or {}) - set("xyz"):
+        raise ValueError(f"no axes {sorted(unknown)}")
+    box = None if not bounds else [bounds.get(axis, EVERYWHERE) for axis in "xyz"]
     directory = read_directory(files) if directory is None else directory
     problem = F.coalesce("error", F.when(F.col("chunk_count") == 0, "no chunks"))
     chunks = directory.withColumn("error", problem).where(F.col("chunk_no").isNotNull() | F.col("error").isNotNull())
+    if box is not None:
+        chunks = chunks.where(F.col("error").isNotNull() | _reaches(box))
     spark = files.sparkSession
     tasks = spark.sparkContext.defaultParallelism * 4
     if "length" in files.columns:
         total = files.agg(F.sum("length")).first()[0] or 0
         tasks = max(tasks, -(-total // SPLIT_BYTES))
     # A fixed task count: chunk rows are tiny and adaptive execution would merge them, but their decoding is not.
-    return chunks.repartition(tasks, "path", "chunk_no").mapInArrow(_decode_chunks, DECODED)
+    return chunks.repartition(tasks, "path", "chunk_no").mapInArrow(lambda batches: _decode_chunks(batches, box), DECODED)
 
 
 # --- spark.read.format("vxz") --------------------------------------------------------------------------
@@ -196,13 +213,13 @@ class VxzReader(DataSourceReader):
         for f in filters:
             name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
             if name in ("x", "y", "z") and isinstance(f.value, int):
-                low, high = self.bounds.get(name, (0, 1 << 62))
+                low, high = self.bounds.get(name, EVERYWHERE)
                 if isinstance(f, EqualTo):
-                    low, high = max(low, f.value), min(high, f.value)
+                    low, high = max(low, f.value), min(high, f.value + 1)
                 elif isinstance(f, GreaterThan | GreaterThanOrEqual):
                     low = max(low, f.value + isinstance(f, GreaterThan))
                 elif isinstance(f, LessThan | LessThanOrEqual):
-                    high = min(high, f.value - isinstance(f, LessThan))
+                    high = min(high, f.value + isinstance(f, LessThanOrEqual))
                 self.bounds[name] = (low, high)
             elif name == "model_id" and isinstance(f, EqualTo):
                 self.models = {f.value} if self.models is None else self.models & {f.value}
@@ -218,17 +235,18 @@ class VxzReader(DataSourceReader):
             return True
         starts = [int(i) * header.chunk_size for i in index]
         return all(
-            start <= self.bounds[c][1] and start + header.chunk_size > self.bounds[c][0]
+            start < self.bounds[c][1] and start + header.chunk_size > self.bounds[c][0]
             for c, start in zip("xyz", starts)
             if c in self.bounds
         )
 
     def read(self, split: FileSplit):
+        box = [self.bounds.get(c, EVERYWHERE) for c in "xyz"] if self.bounds else None
         with open_file(split.path) as handle:
             header = read_header(handle)
             for chunk_no in range(*share(len(header.chunks), split.part, split.parts)):
                 if self._wanted(header, chunk_no):
-                    columns = read_chunk(handle, header, locate(header, chunk_no, split.size))
+                    columns = read_chunk(handle, header, locate(header, chunk_no, split.size), box)
                     yield pa.RecordBatch.from_arrays(_chunk_batch(stem(split.name), chunk_no, columns), schema=_ARROW)
 
 
