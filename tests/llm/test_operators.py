@@ -21,6 +21,7 @@ from voxspark.llm.quality import difference, fit_quality, score_quality
 from voxspark.llm.sharding import assign_shards
 from voxspark.llm.toxicity import fit_toxicity, score_toxicity
 from voxspark.llm.viterbi import SPACE, Encoder, Stream, decode, encode_texts, load_pieces
+from voxspark.llm import wavelet
 from voxspark.llm.wavelet import WaveletMatrix, build, read_shards, write_shards
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, block long"
@@ -168,34 +169,77 @@ def test_near_vectors_against_brute_force(spark, monkeypatch):
         assert (found[i].n_links, found[i].component_id, found[i].kept) == (0, i, True)
 
 
-def test_wavelet_matrix_answers_like_the_sequence():
+def test_wavelet_matrix_answers_like_the_sequence(monkeypatch):
+    monkeypatch.setattr(wavelet, "OPENED", 3)
+    monkeypatch.setattr(wavelet, "PIECE", 7)
     draw = np.random.default_rng(0)
-    for tokens in (draw.zipf(1.3, 5000) % 3000, np.zeros(9, int), np.empty(0, int), draw.integers(0, 70_000, 300_000)):
+    for tokens in (draw.zipf(1.3, 5000) % 3000, np.zeros(9, int), np.empty(0, int), draw.integers(0, 70_000, 300_000), np.repeat([5, 1, 7], [513, 512, 3])):
         tokens = tokens.astype(np.uint32)
         matrix = WaveletMatrix(build(tokens, np.array([5]), np.array([len(tokens)])))
         assert (matrix.tokens() == tokens).all()
-        for i in draw.integers(0, max(len(tokens), 1), 20 if len(tokens) else 0):
+        some = draw.integers(0, max(len(tokens), 1), 40 if len(tokens) else 0)
+        assert (matrix.read(some) == tokens[some]).all()
+        for i in some[:20]:
             token = int(tokens[i])
             places = np.flatnonzero(tokens == token)
             assert matrix.access(int(i)) == token and matrix.count(token, 3, int(i)) == (tokens[3:i] == token).sum() * (i > 3)
-            assert matrix.select(token, len(places) - 1) == places[-1]
-        assert matrix.count(80_000) == 0
+            k = int(draw.integers(0, len(places)))
+            assert matrix.select(token, len(places) - 1) == places[-1] and matrix.select(token, k) == places[k]
+        assert matrix.count(80_000) == 0 and len(matrix._opened) <= 3
+        with pytest.raises(IndexError):
+            matrix.access(len(tokens))
 
 
-def test_token_files_come_back_whole(spark, tmp_path):
+def test_blocks_without_ones_take_no_bytes():
+    tokens = np.zeros(1 << 19, np.uint32)
+    tokens[-1] = 9
+    data = build(tokens, np.array([5]), np.array([len(tokens)]))
+    assert len(data) < 500 and (WaveletMatrix(data).tokens() == tokens).all()
+
+
+def wanted_tokens(rows):
     from tokenizers import Tokenizer
 
+    tokenizer, start = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json"))), 0
+    for doc, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        yield doc, start, len(ids), zlib.crc32(ids.tobytes())
+        start += len(ids)
+
+
+MARKED = [
+    "it's <|endoftext|> x<|startoftext|>y <|EndOfText|> X<|STARTOFTEXT|>",
+    " \u0301a \xa0 q\x0bz\x1c",
+    "'tis 'S don't DON'T \"'some' ('ll) rock'n'roll ''s",
+    "a.b, (C) [D1] 2-3 x² ½! №5, é. É, ΣΑΣ. İ, I\u0307. <\u0338 =\u0338, \u0301. e\u0301, …, «a», 五. ٣, ǅ. ﬁ! İ. क़. \xa0a ñ\xa0,",
+]
+
+
+def test_token_files_come_back_whole(spark, tmp_path):
     path = str(public_tokenizers.path("word_bpe_49k.json"))
-    texts = [*ODD, "it's <|endoftext|> x<|startoftext|>y", " ́a \xa0 q\x0bz\x1c", *[prose(n, 40) for n in range(30)]]
+    draw = random.Random(8)
+    letters = "aZ'.,<|>5²é\u0301Σ五…№ İǅ\xa0’"
+    texts = [*ODD, *MARKED, *["".join(draw.choice(letters) for _ in range(60)) for _ in range(200)], *[prose(n, 40) for n in range(30)]]
     ids = random.Random(4).sample(range(1000), len(texts))
     folder = f"file://{tmp_path}/shards"
-    found = {r.doc_id: r for r in read_shards(spark, folder, write_shards(frame(spark, texts, ids), folder, path, shard_bytes=20_000)).collect()}
-    tokenizer, start = Tokenizer.from_file(path), 0
-    for doc, text in sorted(zip(ids, texts, strict=True)):
-        wanted = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
-        assert (found[doc].start, found[doc].n_tokens, found[doc].ids_crc32) == (start, len(wanted), zlib.crc32(wanted.tobytes()))
-        start += len(wanted)
-    assert len(found) == len(texts)
+    found = read_shards(spark, folder, write_shards(frame(spark, texts, ids), folder, path, shard_bytes=5_000)).collect()
+    assert sorted(map(tuple, found)) == sorted(wanted_tokens(sorted(zip(ids, texts, strict=True))))
+
+
+def test_token_files_of_empty_tables_null_and_repeated_ids(spark, tmp_path):
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    folder = f"file://{tmp_path}/none"
+    assert read_shards(spark, folder, write_shards(frame(spark, []), folder, path)).count() == 0
+    folder = f"file://{tmp_path}/odd"
+    texts = [prose(n, 30) for n in range(3)] * 20
+    ids = [None, 7, 7] * 20
+    found = read_shards(spark, folder, write_shards(frame(spark, texts, ids), folder, path, shard_bytes=500)).collect()
+    assert sum(r.doc_id is None for r in found) == 20 and sum(r.doc_id == 7 for r in found) == 40
+    ends = sorted((r.start, r.n_tokens, r.doc_id) for r in found)
+    assert [start for start, _, _ in ends] == [sum(n for _, n, _ in ends[:k]) for k in range(60)]
+    assert [doc for _, _, doc in ends] == [None] * 20 + [7] * 40
+    each = {crc for _, _, _, crc in wanted_tokens([(0, t) for t in texts[:3]])}
+    assert {r.ids_crc32 for r in found} == each
 
 
 def test_streaming_search_finds_the_best_path_and_decodes(spark):
