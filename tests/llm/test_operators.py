@@ -282,6 +282,14 @@ def test_temperature_meets_entropy_and_repetition():
     assert "empty" not in mixture.budgets and temperature({}, 0, 1.0, 4.0).weights == {}
 
 
+def test_repetition_limit_holds_where_the_budget_exceeds_it():
+    mixture = temperature({"a": 900, "b": 100}, 10_000, 1.0, 4.0)
+    assert mixture.budget == 4000 and mixture.budgets == {"a": 3600, "b": 400} and mixture.exponent == 1.0
+    for budget in (500, 1000, 3999, 4000, 4001, 99_999):
+        found = temperature({"a": 903, "b": 101, "c": 7, None: 1}, budget, 0.9, 4.0)
+        assert all(found.budgets[n] <= 4 * t for n, t in {"a": 903, "b": 101, "c": 7, None: 1}.items())
+
+
 def test_mixture_takes_whole_passes_and_a_part_within_budget(spark):
     draw = random.Random(8)
     sources = ["big"] * 700 + ["mid"] * 80 + [None] * 20 + ["blank"] * 3

@@ -29,6 +29,8 @@ class Mixture:
     exponent: float
     weights: dict[str | None, float]
     budgets: dict[str | None, int]
+    #: The whole budget that was dealt: the one asked for, or what the repetition limit allows.
+    budget: int = 0
 
 
 def _bisect(right, low: float = 0.0, high: float = 1.0) -> float:
@@ -58,18 +60,20 @@ def temperature(tokens: dict[str | None, int], budget: int, target_entropy: floa
     """Weights between the natural shares (exponent 1) and equal ones (0).
 
     The exponent is the least one at which the entropy is at most ``target_entropy`` (times the entropy of equal weights)
-    and no source gives more than ``max_passes`` times its tokens. Sources without tokens get no budget.
+    and no source gives more than ``max_passes`` times its tokens. A budget beyond ``max_passes`` times all tokens can be
+    met by no weights, and is lowered to that. Sources without tokens get no budget.
     """
     names = sorted((n for n, t in tokens.items() if t > 0), key=lambda n: (n is not None, n))
     if not names:
         return Mixture(1.0, {}, {})
     total = sum(tokens[n] for n in names)
+    budget = min(budget, math.floor(max_passes * total))
     shares = [tokens[n] / total for n in names]
     even = _bisect(lambda a: entropy(_weights(shares, a)) <= target_entropy * math.log(len(names)) + 1e-12)
     few = _bisect(lambda a: all(budget * w <= max_passes * tokens[n] for n, w in zip(names, _weights(shares, a), strict=True)))
     exponent = max(even, few)
     weights = dict(zip(names, _weights(shares, exponent), strict=True))
-    return Mixture(exponent, weights, {n: int(math.floor(budget * w)) for n, w in weights.items()})
+    return Mixture(exponent, weights, {n: min(math.floor(budget * w), math.floor(max_passes * tokens[n])) for n, w in weights.items()}, budget)
 
 
 def _draw(*parts: Column) -> Column:

@@ -100,5 +100,5 @@ def assign_shards(df: DataFrame, key: str, shards: int, order: str | None = None
     return (
         placed.join(F.broadcast(offsets), ["_task", "shard"])
         .withColumn("slot", F.col("_position") - F.col("_first") + F.col("_offset"))
-        .drop("_task", "_position", "_first", "_offset")
+        .select(*[c for c in df.columns if c not in ("shard", "grown_shard", "slot")], "shard", "grown_shard", "slot")
     )
