@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 
 from checks import derived as d
 from checks.registry import CTES, query
-from checks.topology import TRIANGLES
+from checks.files import _written
+from checks.topology import BUDGET, LOD, QUADS, TRIANGLES, WIDTHS
 from voxspark.functions.geometry import dual_position_f32
 from voxspark.operators import topology as t
 from voxspark.operators.ordinals import dense_ordinals
-from voxspark.operators.slices import voxel_slice
-from voxspark.plans.prepare import publish, store_table
+from voxspark.plans.prepare import prepare, stored_slice
+from voxspark.plans.store import store_table
 from voxspark.session import checkpoint_dir, settle
 from voxspark.sinks.ply import write_ply
 from voxspark.sources import register
+from voxspark.sources.vxz import corpus_files
 from voxspark.streaming.progress import follow_progress, progress_of
 
 R = d.RESOLUTION
@@ -72,16 +74,52 @@ def k2_vertices(spark, sf):
     return spark.read.format("mesh").load(_written_meshes(spark, sf))
 
 
+def _prepared(spark, sf) -> str:
+    """A store of all models, prepared from files that tasks write."""
+    store = _folder(spark)
+    prepare(corpus_files(spark, _written(spark, sf, False)), store, face_budget=BUDGET)
+    return store
+
+
 @query(
     "k1_stored_slice",
-    "SELECT model_id, vid, x, y, z, dx, dy, dz, flags, ovoxel_type, qef_rank FROM voxels WHERE model_id = 'N0' AND y = 5",
+    """SELECT model_id, x, y, z, dx, dy, dz, flags, ovoxel_type, qef_rank FROM voxels WHERE model_id = 'N0' AND y = 5""",
     ("voxels",),
 )
 def k1(spark, sf):
-    store = _folder(spark)
-    publish(d.voxels(spark, sf), store, "voxels", ("vid",))
-    found = voxel_slice(store_table(spark, store, "voxels").where("model_id = 'N0'"), "y", 5)
-    return found.select("model_id", "vid", "x", "y", "z", "dx", "dy", "dz", "flags", "ovoxel_type", "qef_rank")
+    found = stored_slice(spark, _prepared(spark, sf), "N0", "y", 5)
+    return found.select("model_id", "x", "y", "z", "dx", "dy", "dz", "flags", "ovoxel_type", "qef_rank")
+
+
+@query(
+    "k3_metadata",
+    "WITH "
+    + QUADS
+    + ","
+    + WIDTHS
+    + """ SELECT w.model_id, n AS voxel_count, CAST(2 * quad_count AS BIGINT) AS face_count, cluster_width, w.model_id || '.vxz' AS source_name
+          FROM widths AS w JOIN (SELECT model_id, COUNT(*) AS n FROM voxels GROUP BY model_id) AS v ON v.model_id = w.model_id""",
+    ("voxels",),
+)
+def k3(spark, sf):
+    metadata = store_table(spark, _prepared(spark, sf), "metadata")
+    return metadata.select("model_id", F.col("voxel_count").cast("long"), F.col("face_count").cast("long"), "cluster_width", "source_name")
+
+
+# Which of several equal triangles is kept depends on the order of voxels in files, so corners are compared sorted.
+@query(
+    "k4_lod",
+    "WITH "
+    + LOD
+    + """ SELECT f.model_id, LEAST(ia.vertex_id, ib.vertex_id, ic.vertex_id) AS low, GREATEST(ia.vertex_id, ib.vertex_id, ic.vertex_id) AS high,
+            ia.vertex_id + ib.vertex_id + ic.vertex_id AS total FROM lod_faces AS f
+          JOIN ids AS ia ON ia.model_id = f.model_id AND ia.cluster = f.a JOIN ids AS ib ON ib.model_id = f.model_id AND ib.cluster = f.b
+          JOIN ids AS ic ON ic.model_id = f.model_id AND ic.cluster = f.c""",
+    ("voxels",),
+)
+def k4(spark, sf):
+    faces = store_table(spark, _prepared(spark, sf), "lod_faces")
+    return faces.select("model_id", F.least("a", "b", "c").alias("low"), F.greatest("a", "b", "c").alias("high"), (F.col("a") + F.col("b") + F.col("c")).alias("total"))
 
 
 @query(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from checks.voxel_files import sphere, write_vxz
 from voxspark.operators.constraints import validate_voxels
 from voxspark.plans.decode import decode_corpus, outcome_counts
-from voxspark.plans.prepare import prepare, store_table, stored_slice
+from voxspark.plans.prepare import prepare, stored_slice
+from voxspark.plans.store import store_table
 from voxspark.sources.files import open_file, read_range
 from voxspark.sources.vxz import corpus_files, decode, listed_files, read_headers
 from voxspark.sources.vxz_format import locate, octree_leaves, read_header

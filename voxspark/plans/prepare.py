@@ -10,42 +10,15 @@ from voxspark.operators.lod import lod_mesh
 from voxspark.operators.lookup import lookup_join
 from voxspark.operators.summary import cluster_widths, model_metadata, model_summary, systematic_sample
 from voxspark.plans.corpus import load_corpus
+from voxspark.plans.store import current_version, store_table, write_generation
 from voxspark.session import settle
 
-TABLES = ("voxels", "voxel_overview", "lod_vertices", "lod_faces", "metadata")
-
-
-def publish(table: DataFrame, store: str, name: str, order: tuple[str, ...]) -> None:
-    """Replace the written models' partitions; rows keep their order inside files, so scans can skip row groups.
-
-    Range partitioning includes the order columns: a large model is written by many tasks.
-    """
-    ordered = table.repartitionByRange("model_id", *order).sortWithinPartitions("model_id", *order)
-    writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("model_id").parquet(f"{store}/{name}")
-
-
-def store_table(spark: SparkSession, store: str, name: str) -> DataFrame:
-    """A table of the store; filters on model_id prune folders, filters on coordinates prune row groups."""
-    if name not in TABLES:
-        raise ValueError(f"unknown table {name!r}")
-    return spark.read.option("recursiveFileLookup", "false").schema(_schema(spark, store, name)).parquet(f"{store}/{name}")
-
-
-def _schema(spark: SparkSession, store: str, name: str) -> str:
-    # Partition values such as 0012 must stay text, so model_id is not inferred.
-    inferred = spark.read.parquet(f"{store}/{name}").schema
-    return ", ".join(f"`{f.name}` {'string' if f.name == 'model_id' else f.dataType.simpleString()}" for f in inferred)
-
-
 def current_models(spark: SparkSession, store: str, resolution: int | None = None) -> DataFrame | None:
     """Models the store already holds in the current versions (and the requested resolution); None without a store."""
-    try:
-        metadata = store_table(spark, store, "metadata")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
+    version = current_version(spark, store)
+    if version is None:
+        return None
+    metadata = store_table(spark, store, "metadata", version)
     current = (F.col("format_version") == FORMAT_VERSION) & (F.col("store_version") == STORE_VERSION)
     if resolution is not None:
         current = current & (F.col("resolution") == resolution)
@@ -61,7 +34,8 @@ def prepare(
 ) -> DataFrame:
     """Prepare every listed file the store does not hold yet; returns model_id, status and reason.
 
-    Metadata is written last, so a model counts as prepared only when all its tables are there.
+    All tables of the new models are written as one generation of the store and published by one version file, so readers
+    see all of them or none, and a model that is prepared again is never served half new.
     """
     spark = files.sparkSession
     held = current_models(spark, store, resolution)
@@ -77,11 +51,15 @@ def prepare(
     names = files.select("model_id", F.substring_index("path", "/", -1).alias("source_name"))
     metadata = model_metadata(summary, widths, vertices, faces, point_budget).join(names, "model_id")
 
-    publish(corpus.voxels, store, "voxels", ("chunk_no", "chunk_rank"))
-    publish(systematic_sample(corpus.voxels, point_budget), store, "voxel_overview", ("vid",))
-    publish(vertices, store, "lod_vertices", ("vertex_id",))
-    publish(faces, store, "lod_faces", ("face_key",))
-    publish(metadata, store, "metadata", ())
+    tables = {
+        "voxels": corpus.voxels,
+        "voxel_overview": systematic_sample(corpus.voxels, point_budget),
+        "lod_vertices": vertices,
+        "lod_faces": faces,
+        "metadata": metadata,
+    }
+    if corpus.resolutions.take(1):
+        write_generation(spark, store, tables)
     no_reason = F.lit(None).cast("string").alias("reason")
     return (
         corpus.resolutions.select("model_id", F.lit("ready").alias("status"), no_reason)
@@ -94,16 +72,17 @@ def stored_slice(spark: SparkSession, store: str, model_id: str, axis: str, inde
     """Exact voxels of one slice of a prepared model; the index must lie inside its grid."""
     from voxspark.operators.slices import voxel_slice
 
-    sizes = store_table(spark, store, "metadata").where(F.col("model_id") == model_id).select("model_id", "resolution")
-    found = sizes.first()
+    version = current_version(spark, store)
+    found = None if version is None else store_table(spark, store, "metadata", version, model_id).first()
     if found is None:
         raise ValueError(f"model {model_id!r} is not prepared")
     if not 0 <= index < found.resolution:
         raise ValueError(f"slice index must be in [0, {found.resolution - 1}]")
-    return voxel_slice(store_table(spark, store, "voxels").where(F.col("model_id") == model_id), axis, index)
+    return voxel_slice(store_table(spark, store, "voxels", version, model_id), axis, index)
 
 
 def stored_overview(spark: SparkSession, store: str) -> DataFrame:
     """Overview voxels of all models with their resolution."""
-    sizes = store_table(spark, store, "metadata").select("model_id", "resolution")
-    return lookup_join(store_table(spark, store, "voxel_overview"), sizes, ["model_id"])
+    version = current_version(spark, store)
+    sizes = store_table(spark, store, "metadata", version).select("model_id", "resolution")
+    return lookup_join(store_table(spark, store, "voxel_overview", version), sizes, ["model_id"])
