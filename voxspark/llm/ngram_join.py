@@ -37,8 +37,8 @@ MIN_FRAGMENTS = 64
 BUCKET_DOCUMENTS = 4096
 BATCH_GRAMS = 2_000_000
 OVERLAP_FRAGMENTS = 8
-#: Bits of an n-gram besides those of its fragment.
-GRAM_BITS = 40
+#: An n-gram is a hash of 64 bits. The leading ones are the number of its fragment, so that only the others travel.
+GRAM_BITS = 64
 #: N-grams that are in HOT_COUNT or more of about HOT_SAMPLE documents come last in the order, HOT_LIMIT of them at most.
 #: They are known to be shared and do not travel to a fragment. This moves work only: any order gives the same links.
 HOT_SAMPLE = 4096
@@ -51,24 +51,19 @@ def _join(column: pa.ChunkedArray, kind: type | str) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
 
 
-def _grams(text: str | None, width: int, bits: int) -> np.ndarray:
-    """Sorted distinct n-grams of a text as whole numbers of ``bits`` bits."""
-    return np.unique(word_shingles(text, width) >> np.uint64(64 - bits))
-
-
-def _hot(rows: DataFrame, count: int, width: int, bits: int) -> np.ndarray:
+def _hot(rows: DataFrame, count: int, width: int) -> np.ndarray:
     """The commonest n-grams of a sample of documents, by rising frequency; at most HOT_LIMIT."""
     every = max(1, count // HOT_SAMPLE)
     sample = rows.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_sizes("text")):
-            found, times = np.unique(np.concatenate([_grams(t, width, bits) for t in batch.column("text").to_pylist()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(times)], names=["gram", "times"])
+            found, times = np.unique(np.concatenate([word_shingles(t, width) for t in batch.column("text").to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["gram", "times"])
 
     counted = sample.mapInArrow(explode, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
     common = counted.where(F.col("times") >= HOT_COUNT).orderBy(F.desc("times"), "gram").limit(HOT_LIMIT)
-    return np.array([row["gram"] for row in common.collect()][::-1], np.uint64)
+    return np.array([row["gram"] for row in common.collect()][::-1], np.int64).view(np.uint64)
 
 
 PACKED = "place int, kind int, docs binary, sizes binary, grams binary, more binary, flags binary"
@@ -90,11 +85,23 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(values)], strict=True)) if starts else []
 
 
-def _pack_batch(docs: list[int], sets: list[np.ndarray], hot: np.ndarray, fragment_bits: int, number: int) -> list[tuple]:
+def _tail_bytes(fragment_bits: int) -> int:
+    """Bytes that an n-gram takes besides its fragment's number and its low 32 bits."""
+    return -(-(GRAM_BITS - 32 - fragment_bits) // 8)
+
+
+def _tails(grams: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` bytes of each n-gram that follow its low 32 bits."""
+    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 4 : 4 + size])
+
+
+def _pack_batch(docs: list[int], sets: list[np.ndarray], hot: np.ndarray, fragment_bits: int) -> list[tuple]:
     """Rows of a batch: one per fragment with the parts of its documents, and one of the documents themselves.
 
-    Documents with equal sets are sent once, by their least id; the others are marked as copies.
+    Documents with equal sets are sent once, by their least id; the others are marked as copies. The row of the documents
+    goes to a place that its first id draws.
     """
+    number = int(_bucket(np.array(docs[:1], np.int64), 1 << fragment_bits)[0])
     order = np.argsort(np.array(docs), kind="stable")
     sorted_hot, hot_ranks = np.sort(hot), np.argsort(hot, kind="stable").astype(np.uint32)
     ids, sizes, digests, copies, hot_sizes, hot_lists, kept, kept_ids = [], [], [], [], [], [], [], []
@@ -132,15 +139,17 @@ def _pack_batch(docs: list[int], sets: list[np.ndarray], hot: np.ndarray, fragme
     if kept:
         grams = np.concatenate(kept)
         owners = np.repeat(np.arange(len(kept)), [len(g) for g in kept])
-        fragments = (grams >> np.uint64(GRAM_BITS)).astype(np.int64)
+        fragments = (grams >> np.uint64(GRAM_BITS - fragment_bits)).astype(np.int64)
         by = np.argsort(fragments.astype(np.uint16) if fragment_bits <= 16 else fragments, kind="stable")
         grams, owners, fragments = grams[by], owners[by], fragments[by]
-        low, high = grams.astype(np.uint32), (grams >> np.uint64(32)).astype(np.uint8)
+        size = _tail_bytes(fragment_bits)
+        own = grams & np.uint64((1 << (GRAM_BITS - fragment_bits)) - 1)
+        low, tails = own.astype(np.uint32), _tails(own, size)
         kept_ids = np.array(kept_ids, np.int64)
         for a, b in _runs(fragments):
             starts = np.flatnonzero(np.diff(owners[a:b], prepend=-1))
             counts = np.diff(np.append(starts, b - a)).astype(np.uint32)
-            out.append(_packed(int(fragments[a]), 1, kept_ids[owners[a:b][starts]], counts, low[a:b], high[a:b]))
+            out.append(_packed(int(fragments[a]), 1, kept_ids[owners[a:b][starts]], counts, low[a:b], tails[a:b]))
     return out
 
 
@@ -148,18 +157,22 @@ def _bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _shared(group: pa.Table, buckets: int) -> list[tuple]:
+def _shared(group: pa.Table, buckets: int, fragment_bits: int) -> list[tuple]:
     """Of a fragment: its n-grams of more than one document with their frequency, dealt to the documents' buckets."""
     fragment = group.column("place")[0].as_py()
     docs = np.repeat(_join(group.column("docs"), np.int64), _join(group.column("sizes"), np.uint32))
-    grams = _join(group.column("more"), np.uint8).astype(np.uint64) << np.uint64(32) | _join(group.column("grams"), np.uint32)
+    size = _tail_bytes(fragment_bits)
+    whole = np.zeros((len(docs), 8), np.uint8)
+    whole[:, :4] = _join(group.column("grams"), np.uint8).reshape(-1, 4)
+    whole[:, 4 : 4 + size] = _join(group.column("more"), np.uint8).reshape(-1, size)
+    grams = whole.view("<u8").ravel()
     order = np.argsort(grams, kind="stable")
     grams = grams[order]
     starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.empty(0, np.int64)
     times = np.diff(np.append(starts, len(grams)))
     times = np.repeat(times, times)
     shared = times > 1
-    grams, docs, times = grams[shared] | np.uint64(fragment << GRAM_BITS), docs[order][shared], times[shared]
+    grams, docs, times = grams[shared] | np.uint64(fragment << (GRAM_BITS - fragment_bits)), docs[order][shared], times[shared]
     places = _bucket(docs, buckets)
     by = np.lexsort((docs, places))
     grams, docs, times, places = grams[by], docs[by], times[by].astype(np.uint32), places[by]
@@ -208,23 +221,33 @@ def _profiles(group: pa.Table, hot: np.ndarray, percent: int) -> pa.Table:
     m = np.bincount(index, minlength=len(distinct))
     alive = (100 * m >= percent * n) & (n > 0) & ~copies[first]
     lengths = np.where(alive, m, 0)
-    values = pa.array(grams[alive[index]].astype(np.int64))
+    values = pa.array(grams[alive[index]].view(np.int64))
     offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
     lists = pa.ListArray.from_arrays(offsets, values, mask=pa.array(~alive))
     columns = [pa.array(distinct), pa.array(n), pa.array(m), pa.array([d.tobytes() for d in digests[first]], pa.binary()), pa.array(copies[first]), lists]
     return pa.Table.from_arrays(columns, names=[x.split()[0] for x in PROFILE.split(", ")])
 
 
+def _documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, text) of every id once; of several rows with one id, the least of their texts stays, null before all others."""
+    rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    again = settle(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc"))
+    if again.isEmpty():
+        return rows
+    least = F.min(F.struct("text")).alias("least")
+    several = rows.join(again, "doc", "left_semi").groupBy("doc").agg(least).select("doc", "least.text")
+    return rows.join(again, "doc", "left_anti").unionByName(several)
+
+
 def shared_profiles(df: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """Step 1: (doc, n, m, digest, copy, grams) of every document; ``grams`` is null where no partner is possible."""
-    rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    rows = _documents(df, doc_id, text)
     total = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
     fragments = max(MIN_FRAGMENTS, (total["bytes"] or 0) // 6 // FRAGMENT_GRAMS)
     fragment_bits = min(24, int(fragments - 1).bit_length())
-    bits = fragment_bits + GRAM_BITS
     buckets = max(MIN_FRAGMENTS, total["rows"] // BUCKET_DOCUMENTS)
     spark = df.sparkSession
-    hot = spark.sparkContext.broadcast(_hot(rows, total["rows"], width, bits))
+    hot = spark.sparkContext.broadcast(_hot(rows, total["rows"], width))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[int] = []
@@ -233,16 +256,16 @@ def shared_profiles(df: DataFrame, doc_id: str, text: str, width: int, percent:
         for batch in sliced(batches, text_sizes("text")):
             for doc, value in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 docs.append(doc)
-                sets.append(_grams(value, width, bits))
+                sets.append(word_shingles(value, width))
                 held += len(sets[-1])
                 if held >= BATCH_GRAMS:
-                    yield _rows(_pack_batch(docs, sets, hot.value, fragment_bits, docs[0] % (1 << fragment_bits)))
+                    yield _rows(_pack_batch(docs, sets, hot.value, fragment_bits))
                     docs, sets, held = [], [], 0
         if docs:
-            yield _rows(_pack_batch(docs, sets, hot.value, fragment_bits, docs[0] % (1 << fragment_bits)))
+            yield _rows(_pack_batch(docs, sets, hot.value, fragment_bits))
 
     def share(group: pa.Table) -> pa.Table:
-        found = _deal_documents(group, buckets) if group.column("kind")[0].as_py() == 0 else _shared(group, buckets)
+        found = _deal_documents(group, buckets) if group.column("kind")[0].as_py() == 0 else _shared(group, buckets, fragment_bits)
         return pa.Table.from_batches([_rows(found)])
 
     def profile(group: pa.Table) -> pa.Table:
@@ -278,8 +301,8 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``component_id`` is the least doc_id that links lead to. Null, empty and blank texts have no n-gram and link with
     nothing; a text of fewer words than ``width`` has its whole word sequence as its only n-gram. Rows of one doc_id are
-    taken as one document of the first row's text, which should be its only one; rows without doc_id are no documents.
-    An empty table gives no rows; other columns are not read.
+    one document with the least of their texts; rows without doc_id are no documents. An empty table gives no rows; other
+    columns are not read.
     """
     profiles = shared_profiles(df, doc_id, text, width, percent)
     sets = profiles.where("n > 0").select("doc", "digest")
@@ -292,7 +315,9 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     needed = F.ceil(F.col("n") * percent / 100)
     active = settle(active.select("doc", "n", "m", "grams", (F.col("m") - needed + 1).cast("int").alias("prefix")))
     postings = active.select("doc", "n", "m", F.posexplode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("at", "gram"))
-    lists = postings.groupBy("gram").agg(F.min(F.struct("doc", "n", "m", "at")).alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # What is summed by n-gram is settled before it is joined, as above: a very frequent n-gram can then be split.
+    lists = postings.groupBy("gram").agg(F.min(F.struct("doc", "n", "m", "at")).alias("leader"), F.count(F.lit(1)).alias("size"))
+    lists = settle(lists.where("size > 1"))
     postings = settle(postings.join(lists, "gram").select("gram", "doc", "n", "m", "at", "leader"))
     met = active.join(postings.select("doc").distinct(), "doc", "left_semi")
     segments = met.select("doc", "n", F.posexplode(_cut("grams")).alias("fragment", "part"))
@@ -304,7 +329,7 @@ def ngram_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     postings = postings.drop("leader")
     rows = _with_components(postings, components(linked))
     draw = F.struct(F.xxhash64("doc").alias("draw"), "doc", "n", "m", "at", "component")
-    leaders = rows.groupBy("gram").agg(F.min(draw).alias("leader"))
+    leaders = settle(rows.groupBy("gram").agg(F.min(draw).alias("leader")))
     stars = rows.join(leaders, "gram").where(_possible(percent, *_sides("leader")) & (F.col("component") != F.col("leader.component")))
     stars = stars.select(F.col("doc").alias("a"), F.col("leader.doc").alias("b")).distinct()
     linked = settle(linked.unionByName(_verified(stars, segments, percent)))
@@ -322,8 +347,8 @@ def _cut(grams: str) -> Column:
 
 
 def _inside(k: int) -> Callable[[Column], Column]:
-    """Of the low GRAM_BITS bits, which are spread evenly, the leading three make eight ranges; whether they are k."""
-    return lambda gram: F.shiftright(gram, GRAM_BITS - 3).bitwiseAND(F.lit(OVERLAP_FRAGMENTS - 1)) == k
+    """Of the low 40 bits, which are spread evenly, the leading three make eight ranges; whether they are k."""
+    return lambda gram: F.shiftright(gram, 40 - 3).bitwiseAND(F.lit(OVERLAP_FRAGMENTS - 1)) == k
 
 
 def _with_components(postings: DataFrame, joined: DataFrame) -> DataFrame:
@@ -332,7 +357,7 @@ def _with_components(postings: DataFrame, joined: DataFrame) -> DataFrame:
     rows = postings.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     sizes = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("size"))
     whole = sizes.groupBy("gram").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    whole = whole.where("parts > 1").select("gram", F.col("top.component").alias("top"))
+    whole = settle(whole.where("parts > 1").select("gram", F.col("top.component").alias("top")))
     return settle(rows.join(whole, "gram").select(*rows.columns, "top"))
 
 
