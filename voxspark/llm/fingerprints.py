@@ -21,8 +21,9 @@ from voxspark.llm.common import SLICE_BYTES, code_points, windows
 KEPT = 128
 WIDTH = 8
 HASH_BYTES = 6
-#: Parts at most; beyond them the parts grow, which tasks stream through.
+#: Parts at most; beyond them the parts grow, which tasks stream through. Their borders come from about that many ids a part.
 MAX_PARTS = 20_000
+PART_SAMPLE = 32
 
 
 def smallest(hashes: np.ndarray, k: int = KEPT) -> np.ndarray:
@@ -86,14 +87,20 @@ def edited(text: str, following: str) -> str:
 
 
 def _cuts(rows: DataFrame, part_bytes: int) -> list[int]:
-    """Ascending order values that exist in the rows and cut them into parts of near equal size; [0] is the least one."""
+    """Ascending order values that exist in the rows and cut them into parts of near equal size; [0] is the least one.
+
+    They are quantiles of the order values with the smallest hashes, about PART_SAMPLE of them for a part. A border only says
+    which task meets a row, so results do not depend on the sample.
+    """
     total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("order").alias("least")).first()
     if not total["rows"]:
         return []
     parts = int(max(1, min(total["bytes"] // part_bytes + 1, total["rows"], MAX_PARTS)))
-    shares = [i / parts for i in range(1, parts)]
-    found = rows.agg(F.percentile_approx("order", F.array(*map(F.lit, shares)), 50 * parts).alias("cuts")).first()["cuts"] if shares else []
-    return sorted({total["least"], *found})
+    draw = (F.shiftright(F.xxhash64("order"), 11) + F.lit(1 << 52)).cast("double") / float(1 << 53)
+    sample = rows.select("order").where(draw < PART_SAMPLE * parts / total["rows"]).distinct()
+    found = np.sort(np.array([row["order"] for row in sample.collect()], np.int64))
+    places = (np.arange(1, parts) * len(found) // parts).tolist() if len(found) else []
+    return sorted({total["least"], *found[places].tolist()})
 
 
 def fingerprint_edits(df: DataFrame, order: str = "doc_id", text: str = "text", k: int = KEPT, width: int = WIDTH, part_bytes: int = SLICE_BYTES) -> DataFrame:
