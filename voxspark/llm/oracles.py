@@ -101,7 +101,59 @@ SELECT p.page_id, payload_bytes, sha1(payload) AS payload_digest,
 FROM payloads AS p LEFT JOIN kept AS k USING (payload)
 """
 
+#: Pairs are counted by shingle, so this is for small tables.
+_NEAR = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+  FROM words),
+held AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n - count(*) AS whole, count(*) AS shared
+  FROM held AS x JOIN held AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n),
+links AS (
+  SELECT a, b FROM met WHERE 100 * shared >= 75 * whole UNION ALL SELECT b, a FROM met WHERE 100 * shared >= 75 * whole),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION SELECT r.doc_id, l.b FROM reached AS r JOIN links AS l ON r.other = l.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least USING (doc_id)
+"""
+
+#: The published loop of jump consistent hashing in 128-bit integers, and CRC-32 byte by byte from its polynomial.
+_SHARDS = """
+WITH RECURSIVE bytes AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS b) AS r) AS s),
+keys AS (
+  SELECT DISTINCT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS UBIGINT) AS HUGEINT) AS k
+  FROM documents),
+jumps AS (
+  SELECT doc_id, k, shards, CAST(-1 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS following
+  FROM keys, (SELECT unnest([40, 41]) AS shards) AS c
+  UNION ALL
+  SELECT doc_id, n, shards, following,
+    CAST(floor(CAST(following + 1 AS DOUBLE) * (CAST(2147483648 AS DOUBLE) / CAST(n // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT *, (k * 2862933555777941757 + 1) % CAST('18446744073709551616' AS HUGEINT) AS n FROM jumps WHERE following < shards) AS j),
+dealt AS (
+  SELECT doc_id, CAST(any_value(shard) FILTER (shards = 40) AS INTEGER) AS shard, CAST(any_value(shard) FILTER (shards = 41) AS INTEGER) AS grown_shard
+  FROM jumps WHERE following >= shards GROUP BY doc_id),
+sized AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 16 AS BIGINT) AS size,
+    CAST(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+      lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS BIGINT) AS text_crc32
+  FROM documents, bytes)
+SELECT s.doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY s.doc_id) - 1 AS BIGINT) AS slot, grown_shard
+FROM sized AS s JOIN dealt AS d ON s.doc_id IS NOT DISTINCT FROM d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": _NEAR,
+    "op9_jump_shards": _SHARDS,
     "op11_shallot_clusters": _clusters(),
     "op12_importance_resampling": _RESAMPLING,
     "op13_warc_round_trip": _PAGES,
