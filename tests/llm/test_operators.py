@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -14,7 +15,7 @@ from voxspark.llm.components import components
 from voxspark.llm.common import fold
 from voxspark.llm.fingerprints import containment, distinct, edited, fingerprint_edits, merge, packed, resemblance, sketch, unpacked
 from voxspark.llm.lattice import near_vectors, nearest, neighbours
-from voxspark.llm.mixing import entropy, temperature, with_mixture
+from voxspark.llm.mixing import temperature, with_mixture
 from voxspark.llm.nb_language import fit_language, predict_language
 from voxspark.llm.ngram_join import ngram_components
 from voxspark.llm.quality import difference, fit_quality, score_quality
@@ -80,6 +81,22 @@ def test_ngram_components_of_no_rows_and_of_rows_without_id(spark):
     assert [r.doc_id for r in ngram_components(frame(spark, ["a b", "a b"], [None, 4])).collect()] == [4]
 
 
+def test_ngram_components_of_repeated_ids_and_of_ids_in_steps(spark):
+    base = [prose(n, 40) for n in range(3)]
+    texts = [base[n % 3] + f" tail{n % 2}" for n in range(60)]
+    ids = [64 * n for n in range(60)]
+    found = ngram_components(frame(spark, texts, ids)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(ids, texts)
+    # Of the rows of one id the least text counts: null before all others, then by bytes.
+    several = {7: ["b " + base[0], "a " + base[1], "c"], 8: [base[1]] * 3, 9: [None, base[0]], 10: [base[0]]}
+    rows = [(i, t) for i, found in several.items() for t in found]
+    random.Random(4).shuffle(rows)
+    least = {i: min(found, key=lambda t: (t is not None, t)) for i, found in several.items()}
+    found = ngram_components(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert len(found) == 4
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(list(least), list(least.values()))
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(n, n + 1) for n in range(20)] + [(100, n) for n in range(101, 120)] + [(7, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -136,6 +153,22 @@ def test_every_document_meets_the_next_one_over_all_parts(spark):
     assert fingerprint_edits(frame(spark, ["alone"])).count() == 1
 
 
+def test_likeness_of_fingerprints_is_near_the_true_one(spark):
+    texts = [prose(n, 300) for n in range(40)] + ["short", "", None]
+    found = {r.doc_id: r for r in fingerprint_edits(frame(spark, texts)).collect()}
+
+    def shingles(text):
+        return {text[i : i + 8] for i in range(max(1, len(text) - 7))} if text else set()
+
+    gaps = []
+    for i, text in enumerate(t or "" for t in texts):
+        after = edited(text, texts[(i + 1) % len(texts)] or "")
+        a, b = shingles(text), shingles(after)
+        assert found[i].edited_fingerprint == packed(sketch(after)) and found[i].near_edited == resemblance(sketch(text), sketch(after))
+        gaps.append(abs(found[i].near_edited - (len(a & b) / len(a | b) if a | b else 1.0)))
+    assert max(gaps) < 0.2 and np.mean(gaps) < 0.06
+
+
 def test_lattice_points_are_nearest():
     around = np.concatenate((np.zeros((1, 8)), neighbours()))
     assert len(around) == 241 and np.allclose((around[1:] ** 2).sum(axis=1), 2)
@@ -272,47 +305,101 @@ def test_streaming_search_finds_the_best_path_and_decodes(spark):
     assert all(r.same and len(r.ids) == r.n_ids for r in rows) and rows[0].n_ids == rows[1].n_ids == 0
 
 
-def test_temperature_meets_entropy_and_repetition():
-    tokens = {"a": 900, "b": 90, "c": 10, "empty": 0}
-    assert temperature(tokens, 1000, 0.0, 1e9).exponent == 1.0
-    mixture = temperature(tokens, 1000, 0.8, 1e9)
-    assert entropy(list(mixture.weights.values())) == pytest.approx(0.8 * np.log(3), abs=1e-6)
-    mixture = temperature(tokens, 1000, 1.0, 4.0)
-    assert max(mixture.budgets[n] / tokens[n] for n in mixture.budgets) == pytest.approx(4.0, abs=0.2)
-    assert "empty" not in mixture.budgets and temperature({}, 0, 1.0, 4.0).weights == {}
+def dealt(spark, tokens, *limits):
+    """The mixture of sources with the given tokens, its weights and its budgets by source."""
+    totals = spark.createDataFrame([(n, 1, t) for n, t in tokens.items()], "source string, documents long, tokens long")
+    mixture = temperature(totals, *limits)
+    rows = mixture.sources.collect()
+    return mixture, {r.source: r.weight for r in rows}, {r.source: r.budget for r in rows}
 
 
-def test_repetition_limit_holds_where_the_budget_exceeds_it():
-    mixture = temperature({"a": 900, "b": 100}, 10_000, 1.0, 4.0)
-    assert mixture.budget == 4000 and mixture.budgets == {"a": 3600, "b": 400} and mixture.exponent == 1.0
-    for budget in (500, 1000, 3999, 4000, 4001, 99_999):
-        found = temperature({"a": 903, "b": 101, "c": 7, None: 1}, budget, 0.9, 4.0)
-        assert all(found.budgets[n] <= 4 * t for n, t in {"a": 903, "b": 101, "c": 7, None: 1}.items())
+def entropy(weights):
+    return -math.fsum(w * math.log(w) for w in weights)
 
 
-def test_mixture_takes_whole_passes_and_a_part_within_budget(spark):
+def test_temperature_meets_entropy_and_repetition(spark):
+    tokens = {"a": 900, "b": 90, "c": 10, "empty": 0}
+    assert dealt(spark, tokens, 1.0, 0.0, 1e9)[0].exponent == 1.0
+    mixture, weights, _ = dealt(spark, tokens, 1.0, 0.8, 1e9)
+    assert entropy(weights.values()) == pytest.approx(0.8 * np.log(3), abs=1e-6) and sum(weights.values()) == pytest.approx(1.0)
+    _, _, budgets = dealt(spark, tokens, 1.0, 1.0, 4.0)
+    assert max(budgets[n] / tokens[n] for n in budgets) == pytest.approx(4.0, abs=0.2)
+    assert "empty" not in budgets and dealt(spark, {}, 1.0, 1.0, 4.0)[1:] == ({}, {})
+
+
+def test_repetition_limit_holds_where_the_budget_exceeds_it(spark):
+    mixture, _, budgets = dealt(spark, {"a": 900, "b": 100}, 10.0, 1.0, 4.0)
+    assert mixture.budget == 4000 and budgets == {"a": 3600, "b": 400} and mixture.exponent == 1.0
+    tokens = {"a": 903, "b": 101, "c": 7, None: 1}
+    for share in (0.5, 1.0, 3.99, 4.0, 4.01, 99.0):
+        budgets = dealt(spark, tokens, share, 0.9, 4.0)[2]
+        assert all(budgets[n] <= 4 * t for n, t in tokens.items())
+
+
+def drawn(*parts):
+    return int(hashlib.md5(":".join("" if p is None else str(p) for p in parts).encode()).hexdigest()[:15], 16)
+
+
+def brute_mixture(rows, target, passes):
+    """(id, pass, block, key) of all rows drawn, source by source, by a plain bisection and plain loops."""
+    sized = [(i, len((text or "").split()), source) for i, text, source, _ in rows]
+    tokens, documents = {}, {}
+    for _, size, source in sized:
+        tokens[source] = tokens.get(source, 0) + size
+        documents[source] = documents.get(source, 0) + 1
+    tokens = {n: t for n, t in tokens.items() if t}
+    total = sum(tokens.values())
+
+    def weights(exponent):
+        raised = {n: (t / total) ** exponent for n, t in tokens.items()}
+        return {n: r / math.fsum(raised.values()) for n, r in raised.items()}
+
+    def right(exponent):
+        found = weights(exponent)
+        return entropy(found.values()) <= target * math.log(len(tokens)) + 1e-12 and all(total * w <= passes * tokens[n] for n, w in found.items())
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if right(middle) else (middle, high)
+    out = []
+    for name, weight in weights(round(high, 9)).items():
+        whole, rest = divmod(math.floor(total * weight), tokens[name])
+        for number in range(whole + 1):
+            places = {}
+            for i, size, source in sized:
+                if source == name:
+                    place = drawn("block", number, name, drawn(i) % -(-documents[name] // 1024)), drawn("row", number, i)
+                    places.setdefault(place, []).append((i, size))
+            used = 0
+            for place in sorted(places):
+                used += sum(size for _, size in places[place])
+                if number == whole and used > rest:
+                    break
+                out += [(i, number, *place) for i, _ in places[place]]
+    return sorted(out, key=str)
+
+
+def test_mixture_draws_the_rows_of_plain_loops(spark):
     draw = random.Random(8)
-    sources = ["big"] * 700 + ["mid"] * 80 + [None] * 20 + ["blank"] * 3
+    sources = ["big"] * 1500 + ["mid"] * 80 + [None] * 20 + ["blank"] * 3
     rows = [(i, "" if s == "blank" else prose(i, draw.randint(1, 40)), s, "x") for i, s in enumerate(sources)]
     rows += [rows[0], (None, "no id", "mid", "x"), (5000, None, "mid", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_pass string")
+    docs = docs.withColumns({n: F.lit("x") for n in ("blocks", "passes", "rest", "block", "tokens")})
     mixed, mixture = with_mixture(docs, 0.9, 3.0)
     found = mixed.collect()
-    words = {}
-    for r in found:
-        words[r.source] = words.get(r.source, 0) + len((r.text or "").split())
-    assert set(words) == {"big", "mid", None} and 0 < mixture.exponent < 1
-    for name, total in words.items():
-        assert mixture.budgets[name] - 80 <= total <= mixture.budgets[name]
-    for name in words:
-        times = {}
-        for r in found:
-            if r.source == name and r.doc_id not in (0, None):
-                times[r.doc_id] = times.get(r.doc_id, 0) + 1
-        assert max(times.values()) - min(times.values()) <= 1
+    assert 0 < mixture.exponent < 1 and len({r.mix_block for r in found if r.source == "big"}) > 1
+    assert sorted([(r.doc_id, r.mix_pass, r.mix_block, r.mix_key) for r in found], key=str) == brute_mixture(rows, 0.9, 3.0)
     assert with_mixture(docs.limit(0), 0.9, 3.0)[0].count() == 0
 
 
+def test_any_number_of_sources_is_weighed_in_tables(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.concat(F.lit("s"), F.col("id") % 30_000).alias("source"))
+    mixed, mixture = with_mixture(rows, 1.0, 4.0)
+    assert mixture.exponent == 0.0 and mixed.count() in range(59_000, 60_001) and mixture.sources.count() == 30_000
+
+
 def test_models_score_every_row_and_tell_classes_apart(spark):
     draw, rows, labels = random.Random(6), [], []
     for i in range(240):
@@ -341,6 +428,60 @@ def test_models_score_every_row_and_tell_classes_apart(spark):
     assert {r.lang_pred for r in predict_language(docs, nothing).collect()} == {"und"}
 
 
+def plain_language(known, text, width_bits=15):
+    """Language and posterior by a loop over languages and n-grams; ``known`` has the texts of each language."""
+
+    def grams(value):
+        value, kept, before = (value or "").lower(), [], False
+        for c in value:
+            kept += [c] if c.isalpha() else [" "] if before else []
+            before = c.isalpha()
+        value = [ord(c) for c in " " + "".join(kept) + " "] if any(c.isalpha() for c in value) else []
+        out = []
+        for width in (2, 3, 4):
+            for at in range(len(value) - width + 1):
+                total = width
+                for code in value[at : at + width]:
+                    total = (total * 0x9E3779B97F4A7C15 + code) % 2**64
+                for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xC2B2AE3D27D4EB4F)):
+                    total = (total ^ (total >> shift)) * factor % 2**64
+                out.append((total ^ (total >> 32)) >> (64 - width_bits))
+        return out
+
+    asked, documents, best = grams(text), sum(map(len, known.values())), {}
+    if not asked:
+        return "und", 0.0
+    for name, texts in known.items():
+        counts = {}
+        for value in texts:
+            for gram in grams(value):
+                counts[gram] = counts.get(gram, 0) + 1
+        size = sum(counts.values()) + 0.5 * 2**width_bits
+        best[name] = math.log(len(texts) / documents) + sum(math.log((counts.get(g, 0) + 0.5) / size) for g in asked) * min(1.0, 256 / len(asked))
+    name = max(sorted(best), key=best.get)
+    return name, 1 / sum(math.exp(v - best[name]) for v in best.values())
+
+
+def test_language_scores_are_those_of_plain_loops_in_any_blocks(spark):
+    names = ["aa", "bb", "cc", "dd", "ee"]
+    words = {n: prose(500 + k, 25).split() for k, n in enumerate(names)}
+    draw = random.Random(7)
+    known = {n: [" ".join(draw.choices(words[n], k=12)) for _ in range(6)] for n in names}
+    learnt = [(k, t, n, "x") for k, (n, t) in enumerate((n, t) for n in names for t in known[n])]
+    asked = [" ".join(draw.choices(words[a], k=4) + draw.choices(words[b], k=4)) for a in names for b in names] + [t for t in ODD if len(t or "") < 1000]
+    schema = "doc_id long, text string, lang string, score string"
+    docs = spark.createDataFrame(learnt + [(100, None, "aa", "x"), (101, "no language", None, "x")], schema)
+    rows = spark.createDataFrame([(k, t, None, "x") for k, t in enumerate(asked)], schema)
+    wanted = [plain_language(known, t) for t in asked]
+    for width in (1, 2, 256):
+        model = fit_language(docs, width=width)
+        assert len(model.blocks) == -(-5 // width)
+        found = {r.doc_id: r for r in predict_language(rows, model, keep=("doc_id", "text") if width == 2 else ("doc_id",)).collect()}
+        assert [found[k].lang_pred for k in range(len(asked))] == [n for n, _ in wanted]
+        assert [found[k].score for k in range(len(asked))] == pytest.approx([s for _, s in wanted], abs=1e-9)
+    assert predict_language(rows.limit(0), model).count() == 0
+
+
 def sentences(seed, size, good):
     """At least ``size`` characters of invented sentences over a small vocabulary; bad ones are lists with marks."""
     draw, words = random.Random(seed), prose(1, 300).split()
