@@ -133,6 +133,36 @@ def t1(spark, sf) -> DataFrame:
     return spark.read.parquet(source + "-store/jobs").groupBy("status").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query(
+    "t1_job_states",
+    f"""WITH {STATUSES}
+       SELECT 1 AS round, CASE status WHEN 'good' THEN 'ready' ELSE status END AS status, COUNT(*) AS contents FROM statuses GROUP BY 2
+       UNION ALL SELECT 2, CASE status WHEN 'good' THEN 'kept' ELSE status END, COUNT(*) FROM statuses GROUP BY 2""",
+    ("voxels",),
+)
+def t1_states(spark, sf) -> DataFrame:
+    """All files, and in a second run two copies of each: ready contents are kept, failed ones are tried again, once each."""
+    source = _written(spark, sf, True)
+    arguments = spark, source, source + "-store", source + "-checkpoint"
+    ingest(*arguments).awaitTermination()
+    first = spark.read.parquet(source + "-store/jobs").agg(F.max("batch")).first()[0]
+
+    def copy(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                filesystem, inner = resolve(path)
+                with filesystem.open_input_stream(inner) as stream:
+                    content = stream.read()
+                for again in ("second", "third"):
+                    _save(path.removesuffix(".vxz") + f"-{again}.vxz", content)
+            yield batch
+
+    settle(corpus_files(spark, source).select("path")).mapInArrow(copy, "path string").write.format("noop").mode("overwrite").save()
+    ingest(*arguments).awaitTermination()
+    number = F.when(F.col("batch") <= first, 1).otherwise(2).alias("round")
+    return spark.read.parquet(source + "-store/jobs").groupBy(number, "status").agg(F.count(F.lit(1)).alias("contents"))
+
+
 @query(
     "s1_listed_models",
     """WITH m AS (SELECT DISTINCT model_id FROM voxels)

@@ -31,14 +31,17 @@ def prepare(
     resolution: int | None = None,
     point_budget: int = POINT_BUDGET,
     face_budget: int = MESH_FACE_BUDGET,
+    fresh: bool = False,
 ) -> DataFrame:
     """Prepare every listed file the store does not hold yet; returns model_id, status and reason.
 
+    With ``fresh`` the caller knows that the store holds none of them, and the store is not asked.
+
     All tables of the new models are written as one generation of the store and published by one version file, so readers
     see all of them or none, and a model that is prepared again is never served half new.
     """
     spark = files.sparkSession
-    held = current_models(spark, store, resolution)
+    held = None if fresh else current_models(spark, store, resolution)
     known = settle(files.select("model_id").limit(0) if held is None else files.select("model_id").join(held, "model_id", "left_semi"))
     corpus = load_corpus(files.join(known, "model_id", "left_anti"), resolution)
 

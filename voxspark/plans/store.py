@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxspark.session import file_system
+
 BUCKETS = 64
 TABLES = ("voxels", "voxel_overview", "lod_vertices", "lod_faces", "metadata")
 #: Order of the rows of a model inside its files, so that scans can skip row groups.
@@ -33,20 +35,13 @@ class Version:
     schemas: Mapping[str, str] = field(default_factory=dict)
 
 
-def _files(spark: SparkSession, path: str):
-    """Hadoop's file system of a path, and the path."""
-    context = spark.sparkContext
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(context._jsc.hadoopConfiguration()), where
-
-
 def _bucket(model_id: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(model_id), F.lit(buckets)).cast("int")
 
 
 def current_version(spark: SparkSession, store: str) -> Version | None:
     """The newest published version, or None without a store."""
-    system, folder = _files(spark, f"{store}/_versions")
+    system, folder = file_system(spark, f"{store}/_versions")
     if not system.exists(folder):
         return None
     names = [status.getPath().getName() for status in system.listStatus(folder)]
@@ -60,8 +55,8 @@ def current_version(spark: SparkSession, store: str) -> Version | None:
 
 def _commit(spark: SparkSession, store: str, version: Version) -> None:
     """Publish a version by renaming its file; a number that is taken means that another writer was faster."""
-    system, target = _files(spark, f"{store}/_versions/{version.number:010d}")
-    _, staged = _files(spark, f"{store}/_versions/.{uuid.uuid4().hex}.tmp")
+    system, target = file_system(spark, f"{store}/_versions/{version.number:010d}")
+    _, staged = file_system(spark, f"{store}/_versions/.{uuid.uuid4().hex}.tmp")
     told = {"generations": version.generations, "replacing": version.replacing, "buckets": version.buckets, "schemas": dict(version.schemas)}
     out = system.create(staged, False)
     out.write(bytearray(json.dumps(told).encode()))

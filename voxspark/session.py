@@ -20,6 +20,13 @@ SETTINGS = {
 }
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()), where
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session and return it."""
     for key, value in SETTINGS.items():
@@ -58,6 +65,5 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = _SETTLED.pop(table, None)
         if path is not None:
-            context = table.sparkSession.sparkContext
-            folder = context._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+            system, folder = file_system(table.sparkSession, path)
+            system.delete(folder, True)
