@@ -128,3 +128,33 @@ def test_a_bad_file_is_a_row_and_stops_no_other(spark, tmp_path):
 def test_lines_without_an_end_and_windows_line_ends(spark, tmp_path, split_bytes):
     loaded = meshes(spark, tmp_path, {"a.obj": "v 0 0 0\r\nv 1 0 0\r\nv 0 1 0\r\nf 1 \\\r\n2 -1"}, split_bytes)
     assert collected(loaded)[1] == {"a.obj": {0: (0, 1, 2)}}
+
+
+class Counted(io.BytesIO):
+    told = 0
+
+    def read(self, size=-1):
+        block = super().read(size)
+        self.told += len(block)
+        return block
+
+
+@pytest.mark.parametrize("data", [b"v 1.25 2.5 3.75\n" * 60_000, b"v" * 900_000, b"f 1 2 \\\n" * 100_000], ids=["short", "one line", "continued"])
+def test_all_ranges_together_read_about_the_file(data):
+    for continued in (False, True):
+        told, lines, range_bytes = 0, 0, 6000
+        for low in range(0, len(data), range_bytes):
+            handle = Counted(data)
+            for line in text_lines(handle, low, min(low + range_bytes, len(data)), continued):
+                lines += 1
+            told += handle.told
+        assert told < 4 * len(data)
+        assert lines == (1 if continued and b"\\" in data else max(1, data.count(b"\n")))
+
+
+def test_many_small_ranges_are_read_by_few_tasks(spark, tmp_path):
+    few = spark.sparkContext.defaultParallelism * 4
+    text = "\n".join(f"v {n} 0 0" for n in range(20 * few)) + "\nf 1 2 3" * 20 * few
+    loaded = meshes(spark, tmp_path, {"a.obj": text}, 9)
+    assert len(loaded.vertices.inputFiles()) <= few + 8  # those of failures besides
+    assert loaded.vertices.count() == loaded.faces.count() == 20 * few

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,10 @@ SHARES = "mesh_id string, path string, suffix string, layout string, start long,
 COUNTS = "mesh_id string, part int, lines long, vertices long, triangles long, error string"
 FAULTS = (ValueError, KeyError, IndexError, OSError, OverflowError, UnicodeError, pa.ArrowException)
 BLOCK = 1 << 20
+#: What is read at first beyond a range, to find the end of its last line.
+BEYOND = 1 << 10
+#: Ends of lines; with a backslash before them the line goes on. A carriage return or a few may stand between.
+NEWLINES, LINE_ENDS, LOOK_BACK = re.compile(rb"\n"), re.compile(rb"\\\r*\n|\n"), 16
 ADDED = T.StructType([T.StructField("error", T.StringType())])
 
 
@@ -38,54 +43,50 @@ def text_lines(handle, low: int, high: int, continued: bool = False) -> Iterator
     """The lines that begin in a byte range, so that every line of a file is of exactly one of its ranges.
 
     A line may end beyond the range. With ``continued``, a line that ends with a backslash and its following lines are
-    one line, which is of the range that its first byte is in. Memory holds one block and one line.
+    one line, which is of the range that its first byte is in. Memory holds one block and one line. Little more is read
+    than the range and the rest of its last line, so all ranges of a file together cost about the file.
     """
     position = low
     if low:
         # The byte before the range tells whether a line begins at its first byte; with continued lines, the line
         # before it has to be looked at as well.
-        position = _line_start(handle, low, continued)
+        position = _line_start(handle, low, high, continued)
     handle.seek(position)
-    rest, start, held = b"", position, b""
+    rest, start, held, at, beyond = b"", position, [], position, BEYOND
     while start < high or held:
-        block = handle.read(BLOCK)
+        if at >= high:
+            beyond *= 2
+        block = handle.read(min(BLOCK, max(high - at, beyond)))
         if not block:
             break
+        at += len(block)
         *lines, rest = (rest + block).split(b"\n")
         for line in lines:
             if start >= high and not held:
                 return
             start += len(line) + 1
             if continued and _joined(line):
-                held += line.rstrip(b"\r")[:-1] + b" "
+                held.append(line.rstrip(b"\r")[:-1] + b" ")
                 continue
-            yield held + line
-            held = b""
+            yield b"".join([*held, line])
+            held = []
     if (rest or held) and (held or start < high):
-        yield held + rest
-
-
-def _line_start(handle, low: int, continued: bool) -> int:
-    """The first byte, from ``low`` on, at which a line begins."""
-    at, tail = low, read_range(handle, max(0, low - 2), min(low, 2))
-    new = tail.endswith(b"\n")
-    before = _ends_joined(handle, low - 1) if new and continued else False
-    while not new or before:
-        handle.seek(at)
-        line = b""
-        while not line.endswith(b"\n"):
-            block = handle.read(BLOCK)
-            if not block:
-                return at + len(line)
-            cut = block.find(b"\n")
-            line += block if cut < 0 else block[: cut + 1]
-        new, at = True, at + len(line)
-        before = continued and (_joined(line[:-1]) if len(line) > 2 else _ends_joined(handle, at - 1))
-    return at
-
-
-def _ends_joined(handle, newline: int) -> bool:
-    return _joined(read_range(handle, max(0, newline - 2), min(newline, 2)))
+        yield b"".join([*held, rest])
+
+
+def _line_start(handle, low: int, high: int, continued: bool) -> int:
+    """The first byte, from ``low`` on, at which a line begins; or any from ``high`` on if none begins before it."""
+    at = max(0, low - LOOK_BACK)
+    text, seen, more = read_range(handle, at, low - at), low - 1, BEYOND
+    while True:
+        for end in (LINE_ENDS if continued else NEWLINES).finditer(text):
+            if end[0] == b"\n" and at + end.end() > seen:
+                return at + end.end()
+        seen = at + len(text)
+        block = handle.read(min(BLOCK, more)) if seen < high else b""
+        if not block:
+            return seen
+        at, text, more = max(at, seen - LOOK_BACK), text[-LOOK_BACK:] + block, 2 * more
 
 
 # --- text formats ---------------------------------------------------------------------------------------
@@ -138,8 +139,7 @@ def _counted(shares: DataFrame, tasks: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([_count_share(row)], schema=schema)
+            yield pa.RecordBatch.from_pylist([_count_share(row) for row in batch.to_pylist()], schema=schema)
 
     return settle(shares.repartition(tasks, "mesh_id", "part").mapInArrow(count, COUNTS))
 
@@ -280,8 +280,10 @@ def load_meshes(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> MeshSet:
     claimed = listed.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mesh_id")
     heads = settle(read_heads(listed.join(claimed, "mesh_id", "left_anti")))
     shares = settle(_shares(heads, split_bytes))
-    # Fixed task counts: these rows are tiny and adaptive execution would merge them, but reading their bytes is not.
-    tasks = max(files.sparkSession.sparkContext.defaultParallelism * 4, shares.count())
+    # Fixed task counts: these rows are tiny and adaptive execution would merge them, but reading their bytes is not. They
+    # follow the bytes, not the number of ranges: a task reads many ranges where these are small.
+    total = heads.agg(F.sum("size")).first()[0] or 0
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism * 4, -(-total // SPLIT_BYTES))
     text = shares.where("layout = 'text'")
     lines = _counted(text.where("suffix = 'ply'"), tasks)
     numbered = _starts(text.where("suffix = 'ply'"), lines, {"lines": "line_start"})
