@@ -28,27 +28,36 @@ def listing_ordinals(files: DataFrame) -> DataFrame:
     return sorted_ordinals(files, (F.col("dir"), *_in_folder()), "ordinal", ["root"])
 
 
+def _once(column: Column) -> Column:
+    """A column of one value a row that later columns read; Spark copies plain expressions into each of its readers."""
+    return F.explode(F.array(column))
+
+
 def classified_files(files: DataFrame) -> DataFrame:
-    """Regular files with kind (manifest, mesh, volume), order within the kind, and prefix and role of step volumes."""
-    roles = files.where(F.col("type") == "file").withColumn("__role", volume_role("name"))
-    ordered = roles.select(
-        *files.columns,
-        F.col("__role.prefix").alias("prefix"),
-        F.col("__role.role").alias("role"),
-        volume_order("name", F.col("__role.role")).alias("__order"),
-        is_mesh_name("name").alias("__mesh"),
+    """Regular files with kind (manifest, mesh, volume), order within the kind, and prefix and role of step volumes.
+
+    Rows are dealt to all cores first: a listing of many files can be a few bytes in one input split, but its names are
+    matched with many patterns.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    regular = files.where(F.col("type") == "file").repartition(cores * 2)
+    roles = regular.select("*", _once(volume_role("name")).alias("__role"))
+    told = F.struct(
+        volume_order("name", F.col("__role.role")).alias("order"),
+        is_mesh_name("name").alias("mesh"),
+        mesh_order("name").cast("double").alias("mesh_order"),
+        is_manifest_name("name").alias("manifest"),
     )
+    ordered = roles.select("*", _once(told).alias("__told"))
     kind = (
-        F.when(is_manifest_name("name"), "manifest")
-        .when(F.col("__mesh"), "mesh")
-        .when(F.col("__order").isNotNull(), "volume")
-    )
-    position = F.when(F.col("__mesh"), mesh_order("name").cast("double")).otherwise(F.col("__order"))
-    return (
-        ordered.withColumns({"kind": kind, "ord": position})
-        .where(F.col("kind").isNotNull())
-        .drop("__order", "__mesh")
+        F.when(F.col("__told.manifest"), "manifest")
+        .when(F.col("__told.mesh"), "mesh")
+        .when(F.col("__told.order").isNotNull(), "volume")
     )
+    position = F.when(F.col("__told.mesh"), F.col("__told.mesh_order")).otherwise(F.col("__told.order"))
+    return ordered.select(
+        *files.columns, F.col("__role.prefix").alias("prefix"), F.col("__role.role").alias("role"), kind.alias("kind"), position.alias("ord")
+    ).where(F.col("kind").isNotNull())
 
 
 def directory_scores(classified: DataFrame) -> DataFrame:
@@ -140,7 +149,7 @@ def load_order(selection: DataFrame) -> DataFrame:
 
 def load_ordinals(selection: DataFrame) -> DataFrame:
     """Adds ``place``: where every file stands in the load order of its root and folder."""
-    return sorted_ordinals(selection, _in_load_order(), "place", ["root", "dir"])
+    return sorted_ordinals(settle(selection), _in_load_order(), "place", ["root", "dir"])
 
 
 def default_volumes(selection: DataFrame) -> DataFrame:
