@@ -69,6 +69,12 @@ def _surface(spark, sf):
     return faces, vertices
 
 
+def _placed_surface(spark, sf):
+    """All faces with the positions of their corners, as the quads carry them."""
+    faces = t.placed_triangles(t.quads(d.voxels(spark, sf), with_dual=True), F.lit(R))
+    return faces.withColumnsRenamed({"model_id": "mesh_id", "face_key": "face_id"})
+
+
 @query(
     "a10_mesh_bounds",
     f"""WITH {BOUNDS} SELECT *, ROUND((min_x + max_x) / 2, 6) AS center_x, ROUND((min_y + max_y) / 2, 6) AS center_y,
@@ -144,8 +150,7 @@ def f4_faces(spark, sf):
 )
 def a15(spark, sf):
     # Sums of doubles depend on the order of rows, so both sides leave out vertices whose normals cancel.
-    faces, vertices = _surface(spark, sf)
-    normals = m.vertex_normal_sums(faces, vertices).where("sqrt(nx * nx + ny * ny + nz * nz) > 1e-9")
+    normals = m.placed_normal_sums(_placed_surface(spark, sf)).where("sqrt(nx * nx + ny * ny + nz * nz) > 1e-9")
     return m.unit_normals(normals).select(
         "mesh_id", "vertex_id", *[(F.round(n, 4) + F.lit(0.0)).alias(n) for n in ("nx", "ny", "nz")]
     )

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import meshes as mesh_checks
 from voxspark.functions import geometry as g
 from voxspark.functions import labels
 from voxspark.functions.text import bytes_text, folder_label, parse_resolution, safe_file_name
@@ -149,6 +150,40 @@ def test_one_exchange_serves_all_four_corners(spark):
     assert final.count("ReusedExchange") == 3
 
 
+@pytest.fixture
+def surface(spark, monkeypatch):
+    """Voxels that the mesh queries read instead of the tables, and their faces and vertices, with no join broadcast."""
+    rng = np.random.default_rng(9)
+    cells = np.unique(np.concatenate([rng.integers(60, 68, (400, 3)), rng.integers(0, 3, (30, 3)) + (1 << 21) - 3]), axis=0)
+    duals, flags = rng.choice([0, 1, 128, 255], (len(cells), 3)), rng.integers(0, 64, len(cells))
+    voxels = voxel_frame(spark, cells.tolist(), duals.tolist(), flags.tolist())
+    monkeypatch.setattr(mesh_checks.d, "voxels", lambda spark, sf: voxels)
+    faces = topology.triangles(topology.quads(voxels, with_dual=True), F.lit(mesh_checks.R))
+    vertices = voxels.select(
+        F.col("model_id").alias("mesh_id"),
+        F.col("vid").alias("vertex_id"),
+        *[g.dual_position(c, f"d{c}", mesh_checks.R).alias(c) for c in "xyz"],
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield faces.withColumnsRenamed({"model_id": "mesh_id", "face_key": "face_id"}), vertices
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def added_exchanges(frame) -> int:
+    """Exchanges besides the one that the quads are dealt by."""
+    return frame._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
+
+
+def test_normals_of_voxel_models_shuffle_no_faces(spark, surface):
+    found = mesh_checks.a15(spark, None)
+    assert added_exchanges(found) == 1  # that of the sums
+    sums = meshes.vertex_normal_sums(*surface).where("sqrt(nx * nx + ny * ny + nz * nz) > 1e-9")
+    joined = {r.vertex_id: (r.nx, r.ny, r.nz) for r in meshes.unit_normals(sums).collect()}
+    rows = {r.vertex_id: (r.nx, r.ny, r.nz) for r in found.collect()}
+    assert len(rows) > 100 and rows.keys() == joined.keys()
+    assert all(rows[n] == pytest.approx(joined[n], abs=1e-4) for n in rows)
+
+
 def test_cluster_boundary_and_distinct_faces(spark):
     voxels = voxel_frame(spark, [(1, 0, 0), (2, 0, 0)], [(255, 0, 0), (0, 0, 0)], [0, 0])
     grid = spark.createDataFrame([("m", 8, 2)], "model_id string, resolution int, cluster_width int")

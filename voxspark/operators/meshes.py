@@ -73,7 +73,11 @@ def normalize_to_bounds(vertices: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _corners(faces: DataFrame, vertices: DataFrame, how: str = "inner") -> DataFrame:
+def placed_faces(faces: DataFrame, vertices: DataFrame, how: str = "inner") -> DataFrame:
+    """Faces with the position of every corner as structs pa, pb and pc, looked up among the vertices.
+
+    Every corner shuffles the faces once. Faces of voxel models need none of it: ``topology.placed_triangles``.
+    """
     placed = faces
     for corner in "abc":
         corner_vertex = vertices.select(
@@ -88,6 +92,11 @@ def vertex_normal_sums(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
     A face with a corner that is no vertex has no normal and adds nothing; ``classify_faces`` names such faces.
     """
+    return placed_normal_sums(placed_faces(faces, vertices))
+
+
+def placed_normal_sums(placed: DataFrame) -> DataFrame:
+    """``vertex_normal_sums`` of faces that carry the positions of their corners."""
 
     def edge(to: str, c: str) -> Column:
         return F.col(f"p{to}")[c] - F.col("pb")[c]
@@ -95,7 +104,7 @@ def vertex_normal_sums(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     def normal(c: str, d: str) -> Column:
         return edge("c", c) * edge("a", d) - edge("c", d) * edge("a", c)
 
-    weighted = _corners(faces, vertices).select(
+    weighted = placed.select(
         "mesh_id",
         F.explode(F.array("a", "b", "c")).alias("vertex_id"),
         normal("y", "z").alias("nx"),
@@ -127,9 +136,14 @@ def clip_points(points: DataFrame, axis: str, position: float) -> DataFrame:
 
 def classify_faces(faces: DataFrame, vertices: DataFrame, axis: str, position: float) -> DataFrame:
     """Adds ``clip``: kept (all corners at or below the plane), dropped (all above), cut, or unknown (a corner is no vertex)."""
+    return classify_placed_faces(placed_faces(faces, vertices, "left"), axis, position)
+
+
+def classify_placed_faces(placed: DataFrame, axis: str, position: float) -> DataFrame:
+    """``classify_faces`` of faces that carry the positions of their corners."""
     values = [F.col(f"p{corner}")[check_axis(axis)] for corner in "abc"]
     unknown = functools.reduce(operator.or_, [F.col(f"p{corner}").isNull() for corner in "abc"])
     clip = (
         F.when(unknown, "unknown").when(F.greatest(*values) <= position, "kept").when(F.least(*values) > position, "dropped").otherwise("cut")
     )
-    return _corners(faces, vertices, "left").select("mesh_id", "face_id", "a", "b", "c", clip.alias("clip"))
+    return placed.select("mesh_id", "face_id", "a", "b", "c", clip.alias("clip"))
