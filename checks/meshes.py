@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from checks import derived as d
 from checks.registry import query
 from checks.topology import TRIANGLES
-from voxspark.functions.geometry import dual_position
 from voxspark.operators import meshes as m
 from voxspark.operators import topology as t
-from voxspark.session import settle
 
 R = d.RESOLUTION
 CUT = 0.01
@@ -58,18 +56,6 @@ def _targets(vertices):
 
 
 def _surface(spark, sf):
-    v = settle(d.voxels(spark, sf))
-    faces = t.triangles(t.quads(v, with_dual=True), F.lit(R))
-    faces = faces.withColumnsRenamed({"model_id": "mesh_id", "face_key": "face_id"})
-    vertices = v.select(
-        F.col("model_id").alias("mesh_id"),
-        F.col("vid").alias("vertex_id"),
-        *[dual_position(c, f"d{c}", R).alias(c) for c in "xyz"],
-    )
-    return faces, vertices
-
-
-def _placed_surface(spark, sf):
     """All faces with the positions of their corners, as the quads carry them."""
     faces = t.placed_triangles(t.quads(d.voxels(spark, sf), with_dual=True), F.lit(R))
     return faces.withColumnsRenamed({"model_id": "mesh_id", "face_key": "face_id"})
@@ -130,7 +116,7 @@ def f4(spark, sf):
     ("voxels",),
 )
 def f4_faces(spark, sf):
-    return m.classify_faces(*_surface(spark, sf), "x", -0.25).select("mesh_id", "face_id", "clip")
+    return m.classify_placed_faces(_surface(spark, sf), "x", -0.25).select("mesh_id", "face_id", "clip")
 
 
 @query(
@@ -150,7 +136,7 @@ def f4_faces(spark, sf):
 )
 def a15(spark, sf):
     # Sums of doubles depend on the order of rows, so both sides leave out vertices whose normals cancel.
-    normals = m.placed_normal_sums(_placed_surface(spark, sf)).where("sqrt(nx * nx + ny * ny + nz * nz) > 1e-9")
+    normals = m.placed_normal_sums(_surface(spark, sf)).where("sqrt(nx * nx + ny * ny + nz * nz) > 1e-9")
     return m.unit_normals(normals).select(
         "mesh_id", "vertex_id", *[(F.round(n, 4) + F.lit(0.0)).alias(n) for n in ("nx", "ny", "nz")]
     )

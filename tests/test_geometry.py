@@ -184,6 +184,19 @@ def test_normals_of_voxel_models_shuffle_no_faces(spark, surface):
     assert all(rows[n] == pytest.approx(joined[n], abs=1e-4) for n in rows)
 
 
+def test_clipped_faces_of_voxel_models_shuffle_no_faces(spark, surface):
+    found = mesh_checks.f4_faces(spark, None)
+    assert added_exchanges(found) == 0
+    joined = {r.face_id: r.clip for r in meshes.classify_faces(*surface, "x", -0.25).collect()}
+    assert {r.face_id: r.clip for r in found.collect()} == joined and len(joined) > 50
+    for cut in (1.5, 1.53125):
+        placed = topology.placed_triangles(topology.quads(mesh_checks.d.voxels(spark, None), with_dual=True), F.lit(mesh_checks.R))
+        placed = placed.withColumnsRenamed({"model_id": "mesh_id", "face_key": "face_id"})
+        expected = {r.face_id: r.clip for r in meshes.classify_faces(*surface, "y", cut).collect()}
+        assert {r.face_id: r.clip for r in meshes.classify_placed_faces(placed, "y", cut).collect()} == expected
+        assert {"kept", "dropped", "cut"} == set(expected.values())
+
+
 def test_cluster_boundary_and_distinct_faces(spark):
     voxels = voxel_frame(spark, [(1, 0, 0), (2, 0, 0)], [(255, 0, 0), (0, 0, 0)], [0, 0])
     grid = spark.createDataFrame([("m", 8, 2)], "model_id string, resolution int, cluster_width int")
