@@ -15,7 +15,7 @@ from voxspark.operators import topology as t
 from voxspark.operators.ordinals import dense_ordinals
 from voxspark.plans.prepare import prepare, stored_slice
 from voxspark.plans.store import store_table
-from voxspark.session import checkpoint_dir, settle
+from voxspark.session import checkpoint_dir
 from voxspark.sinks.ply import write_ply
 from voxspark.sources import register
 from voxspark.sources.vxz import corpus_files
@@ -31,14 +31,14 @@ def _folder(spark) -> str:
 def _written_meshes(spark, sf) -> str:
     """Exact meshes of all models, written as PLY files."""
     register(spark)
-    voxels = settle(dense_ordinals(d.voxels(spark, sf).drop("vid").withColumn("key", F.expr("(x * 16 + y) * 32 + z").cast("long")), "key", "vid"))
+    voxels = dense_ordinals(d.voxels(spark, sf).drop("vid").withColumn("key", F.expr("(x * 16 + y) * 32 + z").cast("long")), "key", "vid")
     vertices = voxels.select(
         F.col("model_id").alias("mesh_id"),
         F.col("vid").alias("vertex_id"),
         *[dual_position_f32(c, f"d{c}", R).alias(c) for c in "xyz"],
     )
     keyed = t.triangles(t.quads(voxels, with_dual=True), F.lit(R))
-    faces = settle(dense_ordinals(keyed, "face_key", "face_id").withColumnRenamed("model_id", "mesh_id"))
+    faces = dense_ordinals(keyed, "face_key", "face_id").withColumnRenamed("model_id", "mesh_id")
     meshes = voxels.select(F.col("model_id").alias("mesh_id")).distinct()
     meshes = meshes.select("mesh_id", F.concat("mesh_id", F.lit(".vxz")).alias("source"), F.lit(R).alias("resolution"))
     folder = _folder(spark)

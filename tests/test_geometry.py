@@ -223,6 +223,14 @@ def test_dense_ordinals_cross_digits(spark):
     assert found == {(m, k): n for m in "ab" for n, k in enumerate(keys)}
 
 
+def test_dense_ordinals_do_not_shuffle_rows_for_a_small_table_of_offsets(spark):
+    frame = spark.range(1000).select(F.lit("m").alias("model_id"), (F.col("id") * (1 << 14)).alias("key"))
+    numbered = dense_ordinals(frame, "key", "ordinal")
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert all(r.ordinal == r.key >> 14 for r in numbered.collect())
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_lookup_join_of_a_hot_key_keeps_every_equal_row(spark, how):
     facts = spark.range(3000).select(F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id") % 50).alias("k"))

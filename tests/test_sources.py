@@ -9,7 +9,8 @@ from voxspark.operators.constraints import validate_voxels
 from voxspark.plans.decode import decode_corpus, outcome_counts
 from voxspark.plans.prepare import prepare, stored_slice
 from voxspark.plans.store import store_table
-from voxspark.sources.files import open_file, read_range
+from voxspark.sinks.ply import ply_rows, write_ply
+from voxspark.sources.files import FileSplit, open_file, pack, read_range
 from voxspark.sources.vxz import corpus_files, decode, listed_files, read_headers
 from voxspark.sources.vxz_format import locate, octree_leaves, read_header
 from voxspark.streaming.ingest import ingest
@@ -167,6 +168,57 @@ def test_batch_decode_writes_exact_meshes_and_statuses(spark, tmp_path):
     assert [(r.a, r.b, r.c) for r in read_back.orderBy("face_id").collect()] == [tuple(f) for f in faces.tolist()]
 
 
+def ply_tables(spark, meshes):
+    """Tables that the sink takes, their rows in no order, of (name, points, corners)."""
+    rng = np.random.default_rng(3)
+    sides = [[], []]
+    for name, points, corners in meshes:
+        for side, rows in zip(sides, (points, corners)):
+            side += [(name, n, *rows[n].tolist()) for n in rng.permutation(len(rows)).tolist()]
+    return (
+        spark.createDataFrame([(name, f"{name}.vxz", 8) for name, *_ in meshes], "mesh_id string, source string, resolution int"),
+        spark.createDataFrame(sides[0], "mesh_id string, vertex_id long, x float, y float, z float").repartition(5),
+        spark.createDataFrame(sides[1], "mesh_id string, face_id long, a long, b long, c long").repartition(7),
+    )
+
+
+def test_ply_records_travel_by_stretches_of_the_files(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    sizes = {"big": (12_000, 25_000), "deep/one": (1, 2), "points": (30, 0), **{f"s{n}": (3, 2) for n in range(20)}}
+    made = [(name, rng.random((v, 3), np.float32), rng.integers(0, v, (f, 3))) for name, (v, f) in sizes.items()]
+    tables = ply_tables(spark, made)
+    total = 12_000 * 12 + 25_000 * 13
+    assert total // (1 << 17) + len(sizes) <= ply_rows(*tables).count() <= total // (1 << 17) + 1 + len(sizes)
+    write_ply(*tables, str(tmp_path))
+    assert len([p for p in tmp_path.rglob("*") if p.is_file()]) == len(sizes)
+    for name, points, corners in made:
+        found = read_ply(tmp_path / f"{name}.ply")
+        assert (found[0] == points).all() and (found[1] == corners).all()
+
+
+@pytest.mark.parametrize("column", ["face_id", "c"])
+def test_ply_of_a_face_with_a_null_leaves_no_file(spark, tmp_path, column):
+    meshes, vertices, faces = ply_tables(spark, [("m", np.ones((5, 3), np.float32), np.zeros((4, 3), np.int64))])
+    with pytest.raises(Exception, match="NULL in it"):
+        write_ply(meshes, vertices, faces.withColumn(column, F.when(F.col("face_id") != 3, F.col(column))), str(tmp_path))
+    assert [p for p in tmp_path.rglob("*") if p.name == "m.ply"] == []
+
+
+def test_small_mesh_files_share_a_task(spark, tmp_path):
+    made = [(f"s{n:02}", np.full((4, 3), n, np.float32), np.full((3, 3), n)) for n in range(40)]
+    write_ply(*ply_tables(spark, made), str(tmp_path))
+    for content, size in (("vertices", 4), ("faces", 3)):
+        table = spark.read.format("mesh").option("content", content).load(str(tmp_path))
+        assert table.rdd.getNumPartitions() == 1
+        column = "x" if content == "vertices" else "a"
+        assert sorted((r.mesh_id, r[1], r[column]) for r in table.collect()) == [(f"s{n:02}.ply", k, n) for n in range(40) for k in range(size)]
+    split = spark.read.format("mesh").option("splitBytes", "100").load(str(tmp_path))
+    assert split.count() == 160
+    sizes = [1, 5 << 20, 1, 2 << 20, 3 << 20, 0, 4 << 20]
+    groups = pack([FileSplit(str(n), str(n), size, 0, 1) for n, size in enumerate(sizes)])
+    assert [[s.size for s in g.splits] for g in groups] == [[1], [5 << 20], [1, 2 << 20], [3 << 20, 0], [4 << 20]]
+
+
 def test_exact_meshes_take_grids_that_the_preview_store_refuses(spark, tmp_path):
     for name, x in (("near", 100), ("far", 70_000), ("last", (1 << 21) - 1), ("beyond", 1 << 21)):
         cells = [(x, y, z) for _, y, z in CELLS]

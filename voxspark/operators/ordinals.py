@@ -23,7 +23,8 @@ def dense_ordinals(keys: DataFrame, key: str, ordinal: str, group: Sequence[str]
     """Add the 0-based rank of a unique non-negative key within each group.
 
     Rows are ranked inside their (group, high, middle digits) first and settled, so that the input runs once; the highest
-    ranks are the sizes of the blocks, whose offsets are joined to the settled rows.
+    ranks are the sizes of the blocks, whose offsets are joined to the settled rows. The offsets are settled too: their
+    size is known before that join is planned, and the rows are not shuffled for a table that is small.
     """
     group = list(group)
     block = [*group, "__hi", "__mid"]
@@ -37,7 +38,7 @@ def dense_ordinals(keys: DataFrame, key: str, ordinal: str, group: Sequence[str]
     blocks = rows.groupBy(*group, "__hi").agg(F.sum("__n").alias("__n"))
     blocks = blocks.select(*group, "__hi", F.coalesce(F.sum("__n").over(outer), F.lit(0)).alias("__block_start"))
     inside = Window.partitionBy(*group, "__hi").orderBy("__mid").rowsBetween(*before)
-    starts = (
+    starts = settle(
         rows.withColumn("__row_start", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
         .join(blocks, [*group, "__hi"])
         .select(*block, (F.col("__block_start") + F.col("__row_start")).alias("__start"))

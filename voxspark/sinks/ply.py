@@ -1,8 +1,9 @@
 """Binary PLY files, many meshes at once, each written by many tasks.
 
-Records have fixed widths, so every row knows its byte offset. Tasks write their rows straight into a staged file of
-the mesh; the commit checks the byte counts and renames. Nothing but counts passes through the driver. The target is
-a folder all executors share; writing a row twice writes the same bytes, so retried and speculative tasks are harmless.
+Records have fixed widths, so every record knows its byte offset. Records are grouped by stretches of the files, and
+tasks write whole stretches straight into a staged file of the mesh; the commit checks the byte counts and renames.
+Nothing but counts passes through the driver. The target is a folder all executors share; writing a stretch twice writes
+the same bytes, so retried and speculative tasks are harmless.
 """
 
 from __future__ import annotations
@@ -16,8 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -26,7 +26,12 @@ from voxspark.session import settle
 
 VERTEX = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4")])
 FACE = np.dtype([("n", "u1"), ("a", "<i4"), ("b", "<i4"), ("c", "<i4")])
-SCHEMA = "mesh_id string, total_bytes long, offset long, header string, x float, y float, z float, a int, b int, c int"
+#: Records whose offsets agree above these bits make one row: 128 KiB of a file, at most 11,000 records.
+STRETCH_BITS = 17
+SCHEMA = (
+    "mesh_id string, stretch long, header string, total_bytes long, "
+    "points array<struct<offset:long,x:float,y:float,z:float>>, faces array<struct<offset:long,a:int,b:int,c:int>>"
+)
 
 HEADER = (
     "ply\nformat binary_little_endian 1.0\ncomment source %s\ncomment resolution %d\nelement vertex %d\n"
@@ -36,7 +41,7 @@ HEADER = (
 
 
 def ply_rows(meshes: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """Rows the sink writes.
+    """Rows the sink writes: the records of one stretch of a file each. The first stretch has the header and the file's size.
 
     ``meshes`` has mesh_id, source and resolution; ``vertices`` a dense vertex_id and float x, y, z per mesh_id;
     ``faces`` a dense face_id and a, b, c.
@@ -55,29 +60,35 @@ def ply_rows(meshes: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFr
         face_start.alias("face_start"),
         (face_start + FACE.itemsize * F.col("face_count")).alias("total_bytes"),
     ))
-    heads = layout.select("mesh_id", "total_bytes", F.lit(0).cast("long").alias("offset"), "header")
-    small = layout.drop("header")
+    heads = layout.select("mesh_id", F.lit(0).cast("long").alias("offset"), "header", "total_bytes")
+    small = layout.select("mesh_id", "start", "face_start")
     points = lookup_join(vertices, small, ["mesh_id"]).select(
         "mesh_id",
-        "total_bytes",
         (F.col("start") + VERTEX.itemsize * F.col("vertex_id")).alias("offset"),
-        *[F.col(c).cast("float").alias(c) for c in "xyz"],
+        F.struct(*[F.col(c).cast("float").alias(c) for c in "xyz"]).alias("point"),
     )
     corners = lookup_join(faces, small, ["mesh_id"]).select(
         "mesh_id",
-        "total_bytes",
         (F.col("face_start") + FACE.itemsize * F.col("face_id")).alias("offset"),
-        *[F.col(c).cast("int").alias(c) for c in "abc"],
+        F.struct(*[F.col(c).cast("int").alias(c) for c in "abc"]).alias("face"),
     )
     rows = heads.unionByName(points, allowMissingColumns=True).unionByName(corners, allowMissingColumns=True)
-    return rows.select("mesh_id", "total_bytes", "offset", "header", *"xyzabc")
+
+    def records(name: str, fields: str) -> Column:
+        return F.collect_list(F.when(F.col(name).isNotNull(), F.struct("offset", *[F.col(name)[f].alias(f) for f in fields])))
+
+    return rows.groupBy("mesh_id", F.shiftright("offset", STRETCH_BITS).alias("stretch")).agg(
+        F.max("header").alias("header"),
+        F.max("total_bytes").alias("total_bytes"),
+        records("point", "xyz").alias("points"),
+        records("face", "abc").alias("faces"),
+    )
 
 
 def write_ply(meshes: DataFrame, vertices: DataFrame, faces: DataFrame, folder: str) -> None:
     """Write ``<folder>/<mesh_id>.ply`` for every mesh."""
-    rows = ply_rows(meshes, vertices, faces)
-    ordered = rows.repartitionByRange("mesh_id", "offset").sortWithinPartitions("mesh_id", "offset")
-    ordered.write.format("ply").mode("append").save(folder)
+    rows = ply_rows(meshes, vertices, faces).sortWithinPartitions("mesh_id", "stretch")
+    rows.write.format("ply").mode("append").save(folder)
 
 
 @dataclass
@@ -93,6 +104,19 @@ def _runs(starts: np.ndarray, width: int) -> Iterator[slice]:
         yield slice(low, high)
 
 
+def _write_records(descriptor: int, rows: pa.StructArray, kind: np.dtype) -> int:
+    """Write records in the order of their offsets, neighbours at once; the number of bytes."""
+    columns = dict(zip(rows.type.names, rows.flatten()))
+    if any(column.null_count for column in columns.values()):
+        raise ValueError("a vertex or face with a NULL in it")
+    starts = columns["offset"].to_numpy()
+    order = np.argsort(starts, kind="stable")
+    records, starts = np.empty(len(starts), kind), starts[order]
+    for name in kind.names:
+        records[name] = 3 if name == "n" else columns[name].to_numpy()[order]
+    return sum(os.pwrite(descriptor, records[run].tobytes(), int(starts[run.start])) for run in _runs(starts, kind.itemsize) if len(records))
+
+
 class PlyWriter(DataSourceArrowWriter):
     def __init__(self, folder: str):
         self.folder, self.token = re.sub(r"^file:/+", "/", folder), uuid.uuid4().hex
@@ -103,38 +127,35 @@ class PlyWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         message = Written(Counter(), {})
-        for batch in iterator:
-            names = batch.column("mesh_id").to_numpy(zero_copy_only=False)
-            changes = np.flatnonzero(names[1:] != names[:-1]) + 1
-            for low, high in zip([0, *changes], [*changes, len(names)]):
-                if high > low:
-                    part = batch.slice(low, high - low)
-                    message.expected[names[low]] = part.column("total_bytes")[0].as_py()
-                    message.written[names[low]] += self._write_rows(names[low], part)
+        current, descriptor = None, None
+        try:
+            for batch in iterator:
+                for row, mesh_id in enumerate(batch.column("mesh_id").to_pylist()):
+                    if mesh_id != current:
+                        done, current, descriptor = descriptor, mesh_id, None
+                        self._close(done)
+                        descriptor = self._open(mesh_id)
+                    if (header := batch.column("header")[row].as_py()) is not None:
+                        message.written[mesh_id] += os.pwrite(descriptor, header.encode(), 0)
+                        message.expected[mesh_id] = batch.column("total_bytes")[row].as_py()
+                    for column, kind in (("points", VERTEX), ("faces", FACE)):
+                        message.written[mesh_id] += _write_records(descriptor, batch.column(column)[row].values, kind)
+        finally:
+            self._close(descriptor)
         return message
 
-    def _write_rows(self, mesh_id: str, rows: pa.RecordBatch) -> int:
+    def _open(self, mesh_id: str) -> int:
         path = self._staged(mesh_id)
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        descriptor = os.open(path, os.O_WRONLY | os.O_CREAT, 0o644)
-        written = 0
-        try:
-            for key, kind in (("header", None), ("x", VERTEX), ("a", FACE)):
-                chosen = rows.filter(pc.is_valid(rows.column(key)))
-                starts = chosen.column("offset").to_numpy()
-                if kind is None:
-                    for start, text in zip(starts, chosen.column("header").to_pylist()):
-                        written += os.pwrite(descriptor, text.encode(), int(start))
-                elif len(starts):
-                    records = np.empty(len(starts), kind)
-                    for name in kind.names:
-                        records[name] = 3 if name == "n" else chosen.column(name).to_numpy(zero_copy_only=False)
-                    for run in _runs(starts, kind.itemsize):
-                        written += os.pwrite(descriptor, records[run].tobytes(), int(starts[run.start]))
-            os.fsync(descriptor)
-        finally:
-            os.close(descriptor)
-        return written
+        return os.open(path, os.O_WRONLY | os.O_CREAT, 0o644)
+
+    def _close(self, descriptor: int | None) -> None:
+        """A task's stretches of a mesh follow each other, so their file is flushed to disk once."""
+        if descriptor is not None:
+            try:
+                os.fsync(descriptor)
+            finally:
+                os.close(descriptor)
 
     def commit(self, messages: list[Written | None]) -> None:
         written, expected = Counter(), {}
@@ -142,9 +163,9 @@ class PlyWriter(DataSourceArrowWriter):
             if message is not None:
                 written.update(message.written)
                 expected.update(message.expected)
-        broken = [mesh_id for mesh_id, size in expected.items() if written[mesh_id] != size]
+        broken = [mesh_id for mesh_id in written.keys() | expected.keys() if written[mesh_id] != expected.get(mesh_id)]
         if broken:
-            self._discard(expected)
+            self._discard(written)
             raise RuntimeError(f"incomplete PLY output: {broken[:5]}")
         for mesh_id in expected:
             os.replace(self._staged(mesh_id), os.path.join(self.folder, f"{mesh_id}.ply"))
@@ -155,7 +176,7 @@ class PlyWriter(DataSourceArrowWriter):
                 os.unlink(self._staged(mesh_id))
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._discard({mesh_id for message in messages if message is not None for mesh_id in message.expected})
+        self._discard({mesh_id for message in messages if message is not None for mesh_id in message.written})
 
 
 class PlyDataSource(DataSource):

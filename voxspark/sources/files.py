@@ -9,6 +9,8 @@ import pyarrow.fs as pafs
 from pyspark.sql.datasource import InputPartition
 
 SPLIT_BYTES = 32 * 1024 * 1024
+#: Files smaller than this are read several by one task, which costs more to start than to read one of them.
+PACK_BYTES = 4 * 1024 * 1024
 
 
 def resolve(path: str) -> tuple[pafs.FileSystem, str]:
@@ -72,6 +74,26 @@ def size_splits(root: str, suffixes: tuple[str, ...], split_bytes: int = SPLIT_B
     return splits
 
 
+@dataclass
+class FileGroup(InputPartition):
+    """Splits that one task reads one after the other."""
+
+    splits: list[FileSplit]
+
+
+def pack(splits: list[FileSplit], pack_bytes: int = PACK_BYTES) -> list[FileGroup]:
+    """Groups of neighbouring splits of about ``pack_bytes``; a split of that size or more stays alone."""
+    groups, filled = [], pack_bytes
+    for split in splits:
+        size = split.size // split.parts
+        if filled + size > pack_bytes:
+            groups.append(FileGroup([]))
+            filled = 0
+        groups[-1].splits.append(split)
+        filled += max(size, 1)
+    return groups
+
+
 def share(count: int, part: int, parts: int) -> tuple[int, int]:
     """Half-open range of the part-th share of ``count`` items."""
     return count * part // parts, count * (part + 1) // parts

@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from voxspark.schemas import MESH_FACES, MESH_VERTICES, MESHES
-from voxspark.sources.files import SPLIT_BYTES, FileSplit, open_file, read_range, share, size_splits, stem
+from voxspark.sources.files import SPLIT_BYTES, FileGroup, FileSplit, open_file, pack, read_range, share, size_splits, stem
 
 BATCH_ROWS = 1 << 18
 SUFFIXES = (".ply", ".obj", ".stl")
@@ -260,17 +260,21 @@ class MeshReader(DataSourceReader):
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
 
     def partitions(self):
-        return size_splits(self.path, SUFFIXES, self.split_bytes)
+        return pack(size_splits(self.path, SUFFIXES, self.split_bytes))
 
-    def read(self, split: FileSplit):
+    def read(self, group: FileGroup):
         schema = to_arrow_schema(MESH_FACES if self.content == "faces" else MESH_VERTICES)
+        for split in group.splits:
+            yield from self._read_split(split, schema)
+
+    def _read_split(self, split: FileSplit, schema: pa.Schema):
         parser = PARSERS[split.name.rsplit(".", 1)[1].lower()]
         with open_file(split.path) as handle:
             rows = getattr(parser(handle, split.size), self.content)(split.part, split.parts)
             for first, block in rows:
                 block = block.astype(np.int64 if self.content == "faces" else np.float32)
                 ids = np.arange(first, first + len(block), dtype=np.int64)
-                columns = [pa.array([split.name] * len(block)), pa.array(ids)]
+                columns = [pa.repeat(split.name, len(block)), pa.array(ids)]
                 columns += [pa.array(np.ascontiguousarray(block[:, n])) for n in range(3)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
